@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,17 @@ def crc_rest(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow``, with this package on the path of workers that start where the driver runs from elsewhere.
+
+    On a cluster whose nodes do not share that path the package is shipped with ``--py-files``.
+    """
+    home, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
+    return df.mapInArrow(fn, schema)
+
+
 def map_texts(
     df: DataFrame,
     added: dict[str, str],
@@ -81,4 +94,4 @@ def map_texts(
                     [part.column(i) for i in range(len(names))] + [pa.array(made[f.name], f.type) for f in arrow], names=[*names, *arrow.names]
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_arrow, map_texts
 from .graph import components
 
 SEED = 42
@@ -139,7 +139,7 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
                 row, key, side = class_keys(fps, tables)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side.astype(np.int8)), pa.array(fps[row])], names=["key", "side", "fp"])
 
-    keys = classes.select("fp").mapInArrow(run, "key long, side byte, fp long")
+    keys = map_arrow(classes.select("fp"), run, "key long, side byte, fp long")
     left, right = keys.filter("side != 1").select("key", F.col("fp").alias("x")), keys.filter("side != 0").select("key", F.col("fp").alias("y"))
     near = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits) & (F.col("x") != F.col("y"))
     pairs = left.join(right, "key").filter(near)
