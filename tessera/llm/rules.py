@@ -81,13 +81,9 @@ class Measures:
         return int(covered.sum())
 
     @cached_property
-    def upper_share(self) -> float:
+    def shouts(self) -> bool:
         letters = sum(map(str.isalpha, self.text))
-        return sum(map(str.isupper, self.text)) / max(1, letters)
-
-    @cached_property
-    def mean_word_chars(self) -> float:
-        return self.word_chars / max(1, self.n_words)
+        return sum(map(str.isupper, self.text)) > 0.7 * max(1, letters)
 
 
 @dataclass(frozen=True)
@@ -102,8 +98,8 @@ RULES = (
     Rule("repeated_windows", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
     Rule("symbols", lambda m: 100 * m.n_symbols > 10 * m.word_chars),
     Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > 50 * len(m.lines)),
-    Rule("shouting", lambda m: m.n_words >= 20 and m.upper_share > 0.7),
-    Rule("word_length", lambda m: not 2 <= m.mean_word_chars <= 25),
+    Rule("shouting", lambda m: m.n_words >= 20 and m.shouts),
+    Rule("word_length", lambda m: m.word_chars < 2 * m.n_words or m.word_chars > 25 * m.n_words),
 )
 #: The rules of the base contract: they hold whatever the others say.
 BASE = ("too_few_words", "repeated_windows")
