@@ -1 +1 @@
-"""Part of Tessera; see the modules."""
+"""Structured Streaming forms of the batch operators."""
