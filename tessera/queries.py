@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 from tessera.functions.times import time_bucket
-from tessera.operators import analytics, records, search, sync
+from tessera.operators import analytics, records, search, store, sync
 from tessera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,14 +49,18 @@ def anomaly_zscore(spark, sf_dir):
 
 
 def _bucket(width: str, aggregate: str, source: str, ts: str, value: str) -> Query:
-    return lambda spark, sf_dir: analytics.time_series(table(spark, sf_dir, source), ts, value, width, aggregate, digits=2 if aggregate != "count" else None)
+    def run(spark, sf_dir):
+        out = analytics.time_series(table(spark, sf_dir, source), ts, value, width, aggregate, digits=2 if aggregate != "count" else None)
+        return out.withColumn("time_bucket", F.col("time_bucket").cast("string")) if dict(out.dtypes)["time_bucket"] == "date" else out
+
+    return run
 
 
 for _name, _width, _aggregate in (("bucket_1week_sum", "1 week", "sum"), ("bucket_6h_avg", "6 hours", "avg"), ("bucket_2day_max", "2 days", "max"), ("bucket_15min_min", "15 minutes", "min")):
     registered(f"SELECT time_bucket(INTERVAL '{_width}', ts) AS time_bucket, round({_aggregate}(value), 2) AS {_aggregate.upper()}_value FROM events GROUP BY 1", _name)(_bucket(_width, _aggregate, "events", "ts", "value"))
 registered("SELECT time_bucket(INTERVAL '6 hours', ts) AS time_bucket, count(value) AS COUNT_value FROM events GROUP BY 1", "bucket_6h_count")(_bucket("6 hours", "count", "events", "ts", "value"))
-registered("SELECT CAST(time_bucket(INTERVAL '5 months', o_orderdate) AS DATE) AS time_bucket, count(o_totalprice) AS COUNT_value FROM orders GROUP BY 1", "bucket_5month_count")(_bucket("5 months", "count", "orders", "o_orderdate", "o_totalprice"))
-registered("SELECT CAST(time_bucket(INTERVAL '3 months', o_orderdate) AS DATE) AS time_bucket, round(sum(o_totalprice), 2) AS SUM_value FROM orders GROUP BY 1", "bucket_quarter_sum")(_bucket("1 quarter", "sum", "orders", "o_orderdate", "o_totalprice"))
+registered("SELECT CAST(CAST(time_bucket(INTERVAL '5 months', o_orderdate) AS DATE) AS VARCHAR) AS time_bucket, count(o_totalprice) AS COUNT_value FROM orders GROUP BY 1", "bucket_5month_count")(_bucket("5 months", "count", "orders", "o_orderdate", "o_totalprice"))
+registered("SELECT CAST(CAST(time_bucket(INTERVAL '3 months', o_orderdate) AS DATE) AS VARCHAR) AS time_bucket, round(sum(o_totalprice), 2) AS SUM_value FROM orders GROUP BY 1", "bucket_quarter_sum")(_bucket("1 quarter", "sum", "orders", "o_orderdate", "o_totalprice"))
 
 
 @registered("SELECT round(coalesce(corr(l_quantity, l_extendedprice), 0), 8) AS correlation FROM lineitem")
@@ -221,6 +225,18 @@ def json_metadata_filter(spark, sf_dir):
     return events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
+@registered("SELECT event_id, 'k' AS key, props->>'$.k' AS value, CAST(props->>'$.k' AS DOUBLE) AS value_numeric FROM events WHERE props->>'$.k' IS NOT NULL")
+def metadata_pairs(spark, sf_dir):
+    return store.metadata_pairs(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+@registered("SELECT event_id, value FROM events WHERE CAST(props->>'$.k' AS DOUBLE) = 11 AND props->>'$.absent' IS NULL")
+def metadata_semi_join(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    pairs = store.metadata_pairs(events, "event_id", "props")
+    return store.with_metadata(events, pairs, "event_id", {"k": 11, "absent": None}).select("event_id", "value")
+
+
 # Relational queries
 
 
@@ -243,7 +259,7 @@ _sql("q_left_coalesce", """
 _sql("q_segments", """
     SELECT segment, count(*) AS customers, round(sum(total), 2) AS revenue FROM (SELECT o_custkey, sum(o_totalprice) AS total, CASE WHEN sum(o_totalprice) > 2000000 THEN 'high' WHEN count(*) BETWEEN 5 AND 12 THEN 'regular' ELSE 'low' END AS segment FROM orders GROUP BY o_custkey) GROUP BY segment""", "orders")
 _sql("q_month_case_sum", """
-    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(DISTINCT o_custkey) AS customers, round(sum(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice ELSE 0 END), 2) AS urgent FROM orders GROUP BY 1""", "orders")
+    SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS STRING) AS month, count(DISTINCT o_custkey) AS customers, round(sum(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice ELSE 0 END), 2) AS urgent FROM orders GROUP BY 1""", "orders")
 _sql("q_union_intersect_except", """
     SELECT k FROM ((SELECT c_custkey AS k FROM customer WHERE c_custkey <= 300 INTERSECT SELECT o_custkey FROM orders) EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 100)
     UNION SELECT c_custkey FROM customer WHERE c_custkey IN (1, 2, 3)""", "customer", "orders")
@@ -269,9 +285,9 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@registered("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@registered("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @registered("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
@@ -335,10 +351,10 @@ def schema_evolve(spark, sf_dir):
 # Record pipelines
 
 
-@registered("SELECT n_name AS name, n_nationkey AS n_nationkey, n_regionkey AS n_regionkey, NULL::INT AS r_regionkey FROM nation UNION ALL SELECT r_name, NULL, NULL, r_regionkey FROM region")
+@registered("SELECT n_name AS name, n_nationkey, n_regionkey, -1 AS r_regionkey FROM nation UNION ALL SELECT r_name, -1, -1, r_regionkey FROM region")
 def etl_append_union(spark, sf_dir):
     a = table(spark, sf_dir, "nation").withColumnRenamed("n_name", "name")
-    return a.unionByName(table(spark, sf_dir, "region").withColumnRenamed("r_name", "name"), allowMissingColumns=True)
+    return a.unionByName(table(spark, sf_dir, "region").withColumnRenamed("r_name", "name"), allowMissingColumns=True).fillna(-1)
 
 
 @registered("SELECT p_partkey, upper(p_name) AS p_name, p_brand || '-x' AS brand, 'T:' || p_type AS p_type, p_retailprice * 1.5::DOUBLE AS price, p_size / 2.0::DOUBLE AS half FROM part")

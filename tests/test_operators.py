@@ -130,6 +130,24 @@ def test_index_with_all_probes_is_exact_and_prunes(spark, store, tmp_path, sf):
     assert search.fit_centers(df.limit(0), 3, "embedding") == []
 
 
+def test_vector_store(spark, store, tmp_path):
+    from tessera.operators.store import VectorStore
+
+    collection = VectorStore(spark, f"{tmp_path}/v", 3)
+    assert collection.count() == 0 and collection.search([1, 0, 0], 3).count() == 0
+    collection.add(store)
+    again = spark.createDataFrame([("v1", [0.0, 0.0, 1.0], None, 1), ("v1", [0.0, 1.0, 1.0], None, 2), ("v5", [1.0, 0.0, 0.1], None, 1)], "id string, vector array<float>, metadata string, seq int")
+    collection.add(again, "seq")
+    assert collection.count() == 5 and collection.get("v1").first().vector == [0.0, 1.0, 1.0]
+    assert [r.id for r in collection.search([1, 0, 0], 2).collect()] == ["v5", "v4"]
+    collection.delete(["v5"])
+    assert [r.id for r in collection.search([1, 0, 0], 1).collect()] == ["v4"] and collection.count() == 4
+    with pytest.raises(ValueError):
+        collection.search([1, 0], 1)
+    with pytest.raises(Exception, match="dimension"):
+        collection.add(spark.createDataFrame([("v6", [1.0], None)], VectorStore.SCHEMA))
+
+
 # Synchronisation
 
 
