@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, linededup, mixing, rules, simhash
-from tessera.llm.common import new_folder, table
+from tessera.llm.common import new_folder, shielded, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without cross-site boilerplate lines; ``n_chars``, if there, follows the text."""
-    cleaned = linededup.remove_boilerplate(docs)
+    plain, restored = shielded(docs, ["n_lines", "n_removed"])
+    cleaned = linededup.remove_boilerplate(plain)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cleaned.select([f"`{c}`" for c in docs.columns])
+    return restored(cleaned)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +44,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with ``copies``: how often each is taken."""
-    mixed = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "copies").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
-    return docs.join(mixed, same).select([f"`{c}`" for c in docs.columns] + ["copies"])
+    mixed = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(mixed, same).select([f"`{c}`" for c in docs.columns if c != "copies"] + [F.col("__copies").alias("copies")])
 
 
 STAGES = [

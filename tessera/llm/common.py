@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,6 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_keys(prefix: str = "") -> list[Column]:
+    """Two hashes of a row's doc_id and text, 128 bits together and never null, to find the row again by."""
+    return [F.xxhash64("doc_id", "text").alias(f"{prefix}k1"), F.xxhash64("text", "doc_id").alias(f"{prefix}k2")]
+
+
+def shielded(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns called as one of ``names`` renamed, and what selects all its columns under their own names."""
+    other = {c: f"__own_{c}" if c in set(names) else c for c in docs.columns}
+    return docs.select([F.col(f"`{c}`").alias(n) for c, n in other.items()]), lambda df: df.select([F.col(f"`{n}`").alias(c) for c, n in other.items()])
+
+
 def crc_rest(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; rows with 2 are held out of training."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_texts
+from .common import map_arrow, map_texts, shielded
 
 BLOCK_WORDS = 500_000
 #: As the pattern of the words: digits, letters and whatever is not ASCII.
@@ -216,6 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     together that match anew, so rows that were cut are matched again, up to ``rounds`` times; a row that
     still matches then goes. Columns are those of ``docs``.
     """
+    docs, restored = shielded(docs, ["n_words", "spans", "items"])
     names = [f"`{c}`" for c in docs.columns]
     found = matches(docs, benchmark, window, block_words)
     shared = [docs.sparkSession.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, block_words)]
@@ -239,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(found.select(*names, "spans", "n_words"), clean, schema)
+    return restored(map_arrow(found.select(*names, "spans", "n_words"), clean, schema))
 
 
 def items_digest(ids: list[str]) -> str:

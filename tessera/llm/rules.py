@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, shielded
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -158,4 +158,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs``."""
-    return judge(docs, rules).filter(F.col("rejected_by").isNull()).select([f"`{c}`" for c in docs.columns])
+    plain, restored = shielded(docs, ["rejected_by"])
+    return restored(judge(plain, rules).filter(F.col("rejected_by").isNull()))
