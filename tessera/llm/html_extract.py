@@ -35,8 +35,11 @@ BOILERPLATE = frozenset(
     "footer header masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager search skip copyright legal disclaimer".split()
 )
-#: These mark containers of the article, whatever other words stand beside them.
+#: Beside these, only words of STRONG mark boilerplate: ``post-alert`` may be the article, ``main-menu`` is not.
 ARTICLE = frozenset("article main content post entry story body text".split())
+STRONG = frozenset("ad ads advert advertisement banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header comment comments disqus cookie share sharing related newsletter widget".split())
+#: What a container has or lacks says nothing of what it is.
+ABOUT = ("has-", "with-", "no-", "without-", "is-")
 
 
 @dataclass(slots=True)
@@ -64,7 +67,7 @@ def _boilerplate(tag: str, attributes: str) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = {x.lower() for x in WORDS.findall(word)}
-                if parts & BOILERPLATE and not parts & ARTICLE or parts & {"comment", "comments", "ad", "ads", "advert", "sidebar"}:
+                if not word.lower().startswith(ABOUT) and (parts & STRONG or parts & BOILERPLATE and not parts & ARTICLE):
                     return True
     return False
 
