@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, shielded
+from .common import map_arrow, map_texts, shielded
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -112,18 +112,18 @@ def plan_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, fraction: float
     Only sums per rule reach the driver. With an empty sample the given order stays.
     """
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spent, hit = dict.fromkeys([r.name for r in rules], 0.0), dict.fromkeys([r.name for r in rules], 0)
-            for text in batch["text"]:
+            for text in batch.column(0).to_pylist():
                 for r in rules:  # fresh measures, so that no rule gets another's work for nothing
                     m, began = Measures(text), time.perf_counter()
                     hit[r.name] += bool(r.rejects(m))
                     spent[r.name] += time.perf_counter() - began
-            yield pd.DataFrame({"rule": list(spent), "seconds": list(spent.values()), "hits": list(hit.values())})
+            yield pa.RecordBatch.from_pydict({"rule": list(spent), "seconds": list(spent.values()), "hits": list(hit.values())})
 
     sample = docs.select("text").sample(False, fraction, seed)
-    rows = sample.mapInPandas(measure, "rule string, seconds double, hits long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("hits").alias("h")).collect()
+    rows = map_arrow(sample, measure, "rule string, seconds double, hits long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("hits").alias("h")).collect()
     gain = {r["rule"]: r["h"] / max(r["s"], 1e-9) for r in rows}
     given = [r.name for r in rules]
     return sorted(given, key=lambda n: (-gain.get(n, 0.0), given.index(n)))

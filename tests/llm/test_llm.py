@@ -412,3 +412,76 @@ def test_pipeline_stages(spark, sf):
             got = stage(spark, part, sf)
             assert got.count() <= part.count() and got.columns == odd.columns + ["copies"] * (k == 4)
             assert all(r[c] == "clash" for r in got.collect() for c in clash)
+
+
+def brute_keeps(text):
+    t = text or ""
+    w = WORD.findall(t)
+    windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    repeated = {p for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    chars = sum(map(len, w))
+    return not (
+        len(w) < 50
+        or 100 * len(repeated) > 50 * len(w)
+        or 100 * sum(c in "#*$%&|<>" for c in t) > 10 * chars
+        or 100 * (len(lines) - len(set(lines))) > 50 * len(lines)
+        or sum(c.isupper() for c in t) > 0.7 * max(1, sum(c.isalpha() for c in t))
+        or not 2 * len(w) <= chars <= 25 * len(w)
+    )
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what its predecessor kept."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = common.table(spark, sf, "documents").filter("doc_id < 500")
+    items = [(r.item_id, r.text) for r in common.table(spark, sf, "benchmark").collect()]
+    before = {r.doc_id: r for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name):
+        nonlocal docs
+        folder = common.new_folder(spark, "brute")
+        stages[name](spark, docs, sf).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        return {r.doc_id: r for r in docs.collect()}
+
+    after = step("quality_rules")
+    assert after == {i: r for i, r in before.items() if brute_keeps(r.text)} and 0 < len(after) < len(before)
+    before, after = after, step("line_dedup")
+    want = {i: t for i, t, _, _ in brute_lines([(r.doc_id, r.text, r.source) for r in before.values()], 5)}
+    assert {i: r.text for i, r in after.items()} == want and any(after[i].text != before[i].text for i in after)
+    assert all(r.n_chars == len(r.text) or r.text == before[i].text for i, r in after.items())
+    before, after = after, step("near_dedup")
+    prints, root = {i: brute_fingerprint(r.text) for i, r in before.items()}, {}
+    for i in sorted(prints):
+        if i not in root:
+            stack = [i]
+            while stack:
+                j = stack.pop()
+                if j not in root:
+                    root[j] = i
+                    stack += [k for k in prints if k not in root and (prints[j] ^ prints[k]).bit_count() <= 3]
+    assert after == {i: before[i] for i in set(root.values())} and len(after) < len(before)
+    before, after = after, step("decontamination")
+    low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for i, r in before.items():
+        n, hit, *_ = brute_contamination(r.text, items, 10)
+        if not hit:
+            assert after[i] == r
+        elif hit > 0.5 * n:
+            assert i not in after
+        else:
+            assert brute_contamination(after[i].text, items, 10)[1] == 0 and len(low.findall(after[i].text.lower())) <= n - hit
+    assert any(i not in after or after[i].text != r.text for i, r in before.items())
+    before, after = after, step("source_mix")
+    sizes, taken = Counter(), Counter()
+    for r in before.values():
+        sizes[r.source] += len(WORD.findall(r.text))
+    for r in after.values():
+        assert 1 <= r.copies <= 3 and r[:5] == before[r.doc_id][:5]
+        taken[r.source] += r.copies * len(WORD.findall(r.text))
+    largest = max(len(WORD.findall(r.text)) for r in before.values())
+    assert all(abs(taken[s] - t) <= largest / 2 + 1 for s, t in brute_targets(sizes).items())
