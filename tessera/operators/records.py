@@ -62,6 +62,18 @@ def filter_records(df: DataFrame, text: str, lenient: bool = False) -> DataFrame
     return df.filter(condition(df, text, lenient))
 
 
+def filter_fields(df: DataFrame, text: str, fields: str = "fields") -> DataFrame:
+    """Rows whose map ``fields``, or else whose column of that name, holds ``field=value``; a text of another form keeps all."""
+    name, equals, value = text.partition("=")
+    if not equals or not name.strip():
+        return df
+    name = name.strip()
+    found = F.try_element_at(F.col(fields), F.lit(name))
+    if name in df.columns and name != fields:
+        found = F.coalesce(found, F.col(f"`{name}`").cast("string"))
+    return df.filter(found == value.strip())
+
+
 def transform_expression(df: DataFrame, source: str, transform: str | None) -> Column:
     """Column of one mapping: to_uppercase(), to_lowercase(), multiply(n), divide(n), concat(s) or prefix(s);
     values of other types, and unknown transforms, stay as they are."""

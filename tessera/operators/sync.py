@@ -37,6 +37,19 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: str |
     return target.join(changes.select(*keys), keys, "left_anti").select([f"`{c}`" for c in target.columns]).unionByName(changes)
 
 
+def update_rows(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``target`` with the columns of ``changes`` taken over where keys match and the new value is not null; ``changes`` has one row per key."""
+    new = [c for c in changes.columns if c not in keys]
+    renamed = changes.select(*[f"`{k}`" for k in keys], *[F.col(f"`{c}`").alias(f"__new_{c}") for c in new])
+    joined = target.join(renamed, keys, "left")
+    return joined.select([F.coalesce(f"__new_{c}", F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in target.columns])
+
+
+def delete_rows(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``target`` without the rows whose keys are in ``gone``; null keys match nothing."""
+    return target.join(gone.select(*keys), keys, "left_anti").select([f"`{c}`" for c in target.columns])
+
+
 def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], op: str = "op", order: str = "seq") -> DataFrame:
     """``target`` after a change frame of INSERT, UPDATE and DELETE rows: per key the last change holds."""
     last = _last(changes, keys, order)

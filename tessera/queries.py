@@ -330,6 +330,19 @@ def cdc_apply(spark, sf_dir):
     return sync.apply_changes(target, first.unionByName(second).unionByName(gone).unionByName(new), ["o_orderkey"])
 
 
+@registered("SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN 1.5::DOUBLE ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+def bulk_update(spark, sf_dir):
+    target = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    changes = target.filter("c_custkey % 10 = 3").select("c_custkey", F.lit(1.5).alias("c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"))
+    return sync.update_rows(target, changes, ["c_custkey"])
+
+
+@registered("SELECT c_custkey, c_name FROM customer WHERE c_nationkey <> 4")
+def bulk_delete(spark, sf_dir):
+    target = table(spark, sf_dir, "customer")
+    return sync.delete_rows(target, target.filter("c_nationkey = 4"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
 @registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-01'")
 def changed_since_watermark(spark, sf_dir):
     import datetime
@@ -401,6 +414,15 @@ for _name, _condition, _where in (
     registered(f"SELECT c_custkey FROM customer WHERE {_where}", f"etl_filter_{_name}")(lambda spark, sf_dir, c=_condition: records.filter_records(table(spark, sf_dir, "customer"), c).select("c_custkey"))
 
 
+@registered("SELECT CAST(event_id AS VARCHAR) AS id, upper(event_type) AS kind FROM events WHERE event_type = 'click' AND props->>'$.k' = '5'")
+def etl_plugin_records(spark, sf_dir):
+    """Records with a map of fields: filtered by a field, then by a base column, then changed."""
+    events = table(spark, sf_dir, "events")
+    found = events.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("source"), F.from_json("props", "map<string,string>").alias("fields"))
+    found = records.filter_fields(records.filter_fields(found, "k=5"), "source=click")
+    return found.select("id", F.upper("source").alias("kind"))
+
+
 @registered("SELECT id, 'row ' || id AS name FROM (SELECT CAST(range AS VARCHAR) AS id FROM range(100)) WHERE CAST(id AS INT) > 40")
 def etl_generated_lenient(spark, sf_dir):
     from tessera.sources.records import source
