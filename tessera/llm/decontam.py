@@ -3,7 +3,8 @@
 The items, as word ids, form one automaton per block of items; documents are streamed through it word by word,
 and the longest match that ends at each word tells which words lie in windows of the items. Only runs of words
 that the items have at all are streamed. An automaton of n words has 2n states at most, so a block of
-``BLOCK_WORDS`` words bounds what is broadcast at once; more items make more blocks.
+``BLOCK_WORDS`` words bounds what is broadcast and held at once; more items make more blocks, each a job of its own
+whose spans and items, but not texts, are kept in the shared folder and brought together by row.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, map_texts, shielded
+from .common import cut, map_arrow, map_texts, row_keys, shielded
 
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000
+KINDS = {"n_words": "long", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
 #: As the pattern of the words: digits, letters and whatever is not ASCII.
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: On UTF-8 bytes: A-Z to lower case, everything else in ASCII that no word has to a space.
@@ -156,32 +161,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
     without words never occur. Repeated rows and items count alike; with no items nothing is hit; an empty
     table gives no rows. Columns of ``docs`` with the names of the new ones are replaced.
     """
-    spark = docs.sparkSession
-    kinds = {"n_words": "long", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
-    kept = [c for c in docs.columns if c not in kinds]
-    done = None
-    for block in blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-
-        def run(texts: list[str | None], shared=shared) -> dict[str, list]:
-            automaton, out = shared.value, {k: [] for k in kinds}
-            for text in texts:
-                words = words_of(text)
-                spans, items = automaton.match(words)
-                out["n_words"].append(len(words))
-                out["spans"].append([{"start": a, "end": b} for a, b in merged(spans)])
-                out["items"].append(sorted({automaton.ids[k] for k in items}))
-            return out
-
-        if done is None:
-            done = map_texts(docs, kinds, run)
-            continue
-        # Further blocks run over what the former ones made; only the rows' own spans and items are joined.
-        more = map_texts(done.withColumnsRenamed({k: f"__{k}" for k in kinds}), kinds, run)
-        done = more.select(*[f"`{c}`" for c in kept], "n_words", F.concat("__spans", "spans").alias("spans"), F.array_union("__items", "items").alias("items"))
-    if done is None:
-        done = map_texts(docs, kinds, lambda texts: {"n_words": [len(words_of(t)) for t in texts], "spans": [[] for _ in texts], "items": [[] for _ in texts]})
-    return done
+    docs = docs.select([f"`{c}`" for c in docs.columns if c not in KINDS])
+    groups = blocks(benchmark, block_words)
+    first, second = next(groups, []), next(groups, None)
+    if second is None:
+        return _matched(docs, first, window)
+    keyed, parts = docs.select("text", *row_keys("__")), []
+    for block in chain((first, second), groups):
+        parts.append(cut(_matched(keyed, block, window).drop("text")))
+    every = reduce(DataFrame.unionAll, parts).groupBy("__k1", "__k2")
+    every = every.agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    every = every.withColumnsRenamed({"__k1": "__of1", "__k2": "__of2"})
+    joined = docs.select("*", *row_keys("__")).join(every, (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")))
+    return joined.drop("__k1", "__k2", "__of1", "__of2")
+
+
+def _matched(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+
+    def run(texts: list[str | None]) -> dict[str, list]:
+        automaton, out = shared.value, {k: [] for k in KINDS}
+        for text in texts:
+            words = words_of(text)
+            spans, items = automaton.match(words)
+            out["n_words"].append(len(words))
+            out["spans"].append([{"start": a, "end": b} for a, b in merged(spans)])
+            out["items"].append(sorted({automaton.ids[k] for k in items}))
+        return out
+
+    return map_texts(docs, KINDS, run)
 
 
 def n_hit(spans: list[dict]) -> int:
@@ -214,33 +222,48 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
 
     Rows with more than ``coverage`` of their words in such spans go as a whole. Cutting may bring words
     together that match anew, so rows that were cut are matched again, up to ``rounds`` times; a row that
-    still matches then goes. Columns are those of ``docs``.
+    still matches then goes. Null and empty texts stay; columns are those of ``docs``.
     """
-    docs, restored = shielded(docs, ["n_words", "spans", "items"])
-    names = [f"`{c}`" for c in docs.columns]
-    found = matches(docs, benchmark, window, block_words)
-    shared = [docs.sparkSession.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, block_words)]
-    schema = docs.schema
+    docs, restored = shielded(docs, KINDS)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__again", T.BooleanType())])
     place = docs.columns.index("text")
+    groups = blocks(benchmark, block_words)
+    first, second = next(groups, []), next(groups, None)
+    # One block can be matched again where the text is cut; more are not held at once.
+    only = docs.sparkSession.sparkContext.broadcast(Automaton(first, window)) if second is None else None
+
+    def recut(text: str | None, spans: list[dict]) -> tuple[str | None, bool]:
+        """The text without the spans, and whether it must be, or after all rounds still is, matched."""
+        for _ in range(rounds + 1 if only else 1):
+            if not spans:
+                return text, False
+            text = cut_spans(text, spans)
+            spans = [{"start": a, "end": b} for a, b in only.value.match(words_of(text))[0]] if only else spans
+        return text, bool(spans)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(place).to_pylist(), []
-            spans_of = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            for k, (text, spans, n) in enumerate(zip(texts, spans_of, batch.column(batch.schema.get_field_index("n_words")).to_pylist(), strict=True)):
-                good = not spans or n_hit(spans) <= coverage * n
-                for _ in range(rounds if spans and good else 0):
-                    texts[k] = text = cut_spans(text, spans)
-                    words = words_of(text)
-                    spans = [{"start": a, "end": b} for s in shared for a, b in s.value.match(words)[0]]
-                    if not spans:
-                        break
-                keep.append(good and (not spans or not texts[k]))
-            columns = [batch.column(i) for i in range(len(schema.fields))]
-            columns[place] = pa.array(texts, columns[place].type)
+            texts, spans, counts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "spans", "n_words"))
+            keep = [n_hit(s) <= coverage * n for s, n in zip(spans, counts, strict=True)]
+            done = [recut(t, s) if k else (t, False) for t, s, k in zip(texts, spans, keep, strict=True)]
+            columns = [batch.column(i) for i in range(len(schema.fields) - 1)] + [pa.array([again for _, again in done], pa.bool_())]
+            columns[place] = pa.array([t for t, _ in done], columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
 
-    return restored(map_arrow(found.select(*names, "spans", "n_words"), clean, schema))
+    names = [f"`{c}`" for c in docs.columns]
+    done = None
+    for _ in range(rounds + 1):
+        cleaned = map_arrow(matches(docs, benchmark, window, block_words).select(*names, "n_words", "spans"), clean, schema)
+        if only:
+            return restored(cleaned.filter("NOT __again"))
+        # Cut rows are few: they alone are kept in the shared folder and matched again.
+        again = cut(cleaned.filter("__again").drop("__again"))
+        whole = cleaned.filter("NOT __again").drop("__again")
+        done = whole if done is None else done.unionAll(whole)
+        if again.isEmpty():
+            break
+        docs = again
+    return restored(done)
 
 
 def items_digest(ids: list[str]) -> str:

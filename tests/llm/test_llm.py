@@ -217,7 +217,7 @@ def test_decontamination_against_brute_force(spark, block):
     vocabulary = ["a", "b", "C", "é"]
     text = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", "\n"]) for _ in range(n))
     items = [(i, text(rng.choice([0, 2, 3, 6, 7, 9]))) for i in range(14)] + [(99, None), (3, "a b C"), (100, "!?")]
-    docs = [(i, text(rng.choice([0, 1, 3, 30, 60])), "s") for i in range(40)] + odd_rows()[:5]
+    docs = [(i, text(rng.choice([0, 1, 3, 30, 60])), "s") for i in range(40)] + [(50 + i, f"{'Z ' * 30}a b c{' Y' * i} C a é b", "s") for i in range(3)] + odd_rows()[:5]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id): tuple(r)[1:5] for r in decontam.report(frame(spark, docs), bench, window=5, block_words=block).collect()}
     for i, t, _ in docs[:40]:
