@@ -17,6 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting for the rows of an Arrow batch.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,11 +72,14 @@ def crc_rest(doc_id: Column) -> Column:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow``, with this package on the path of workers that start where the driver runs from elsewhere.
 
-    On a cluster whose nodes do not share that path the package is shipped with ``--py-files``.
+    On a cluster whose nodes do not share that path the package is shipped with ``--py-files``. Batches are held
+    to 1000 rows, since texts may be long.
     """
     home, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
+    if int(df.sparkSession.conf.get(BATCH_ROWS)) > 1000:
+        df.sparkSession.conf.set(BATCH_ROWS, "1000")
     return df.mapInArrow(fn, schema)
 
 

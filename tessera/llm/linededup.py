@@ -11,16 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, row_keys
 
-#: Below this count, which is taken first, boilerplate lines are broadcast; above it they are joined by a shuffle.
+#: Up to this count, which is taken first, line hashes are broadcast; above it they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
 def line_rows(docs: DataFrame, site: str = "source") -> DataFrame:
-    """key (of the row), doc_id, site, place, line_hash of every line that has a word."""
-    lines = docs.select(F.xxhash64("text", "doc_id").alias("key"), "doc_id", F.col(site).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return lines.filter(F.col("line").rlike(WORD)).select("key", "doc_id", "site", "place", F.xxhash64("line").alias("line_hash"))
+    """k1, k2 (keys of the row), doc_id, site, place, line_hash of every line that has a word."""
+    lines = docs.select(*row_keys(), "doc_id", F.col(site).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    return lines.filter(F.col("line").rlike(WORD)).select("k1", "k2", "doc_id", "site", "place", F.xxhash64("line").alias("line_hash"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 8) -> DataFrame:
@@ -34,11 +34,15 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 8) -> DataFrame:
     spread = lines.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg(named, F.lit(lg_k))).alias("sites"), first.alias("first"))
     margin = 1 + 4 * 1.04 / 2 ** (lg_k / 2) * min_sites
     spread = cut(spread.filter(F.col("sites") >= min_sites - margin))
-    clear = spread.filter(F.col("sites") > min_sites + margin)
-    near = spread.filter(F.col("sites") <= min_sites + margin)
-    exact = lines.join(near.select("line_hash"), "line_hash", "left_semi").groupBy("line_hash", named.alias("named")).agg(first.alias("first"))
-    exact = exact.groupBy("line_hash").agg(F.count("*").alias("sites"), F.min("first").alias("first")).filter(F.col("sites") >= min_sites)
-    return clear.select("line_hash", "first").unionAll(exact.select("line_hash", "first")).select("line_hash", F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))
+    near = spread.filter(F.col("sites") <= min_sites + margin).select(F.col("line_hash").alias("near_hash"), "first")
+    if near.count() <= BROADCAST_ROWS:
+        near = F.broadcast(near)
+    # Distinct pairs first, which each task does before the shuffle: a common line is no heavier than its sites.
+    sites = lines.select("line_hash", named.alias("named")).join(near.select("near_hash"), F.col("line_hash") == F.col("near_hash"), "left_semi").distinct()
+    exact = sites.groupBy("line_hash").agg(F.count("*").alias("exact")).filter(F.col("exact") >= min_sites)
+    exact = exact.join(near, F.col("line_hash") == F.col("near_hash"))
+    chosen = spread.filter(F.col("sites") > min_sites + margin).select("line_hash", "first").unionAll(exact.select("line_hash", "first"))
+    return chosen.select("line_hash", F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 5, site: str = "source", lg_k: int = 8) -> DataFrame:
@@ -56,15 +60,15 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, site: str = "source"
         bad = F.broadcast(bad)
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place"))
     gone = lines.join(bad, F.col("line_hash") == F.col("bad_hash")).filter(~first)
-    gone = gone.groupBy("key").agg(F.collect_set("place").alias("gone"))
-    whole = docs.select(*kept, F.xxhash64("text", "doc_id").alias("__key")).join(gone.withColumnRenamed("key", "__gone_key"), F.col("__key") == F.col("__gone_key"), "left")
+    gone = gone.groupBy("k1", "k2").agg(F.collect_set("place").alias("__gone")).withColumnsRenamed({"k1": "__of1", "k2": "__of2"})
+    whole = docs.select(*kept, *row_keys("__")).join(gone, (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")), "left")
     split = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))  # by hashing, in order
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))  # by hashing, in order
     left = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(WORD))), F.lit(0))
     return whole.select(
         *[text.alias("text") if c == "`text`" else F.col(c) for c in kept],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

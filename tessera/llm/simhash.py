@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, map_texts
+from .common import cut, map_arrow, map_texts, row_keys
 from .graph import components
 
 SEED = 42
@@ -59,12 +59,12 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp (the fingerprint as a signed long) per row of ``docs``."""
+    """doc_id, k1, k2 (keys of the row), fp (the fingerprint as a signed long) per row of ``docs``."""
 
     def run(texts: list[str | None]) -> dict[str, list]:
         return {"fp": np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)}
 
-    return map_texts(docs.withColumn("text_hash", F.xxhash64("text")), {"fp": "long"}, run, keep=["doc_id", "text_hash"])
+    return map_texts(docs.select("doc_id", "text", *row_keys()), {"fp": "long"}, run, keep=["doc_id", "k1", "k2"])
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp, component_id (the smallest doc_id that links reach) per row of ``docs``.
+    """doc_id, k1, k2, fp, component_id (the smallest doc_id that links reach) per row of ``docs``.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids count only where a
     component has no other id; repeated rows stay and share their component; an empty table gives no rows;
@@ -159,16 +159,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> Dat
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = cut(rooted.join(first, "root").select("fp", "component_id"))
-    return prints.join(members, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return prints.join(members, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> DataFrame:
     """``docs`` with only the row of smallest doc_id of each group of near-duplicates; of equal rows, one."""
-    from pyspark.sql import Window
-
     marked = near_duplicates(docs, max_bits, shingle)
-    best = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("best_hash"))
-    best = best.select(F.col("doc_id").alias("best_id"), "best_hash")
-    kept = docs.withColumn("__hash", F.xxhash64("text")).join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("__hash") == F.col("best_hash")))
-    place = Window.partitionBy("best_id", "best_hash").orderBy("best_hash")
+    best = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    kept = docs.select("*", *row_keys("__")).join(best.select(F.col("k.k1").alias("__of1"), F.col("k.k2").alias("__of2")), (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")))
+    # Equal rows have equal keys, and lie together after the join.
+    place = Window.partitionBy("__k1", "__k2").orderBy("__k1")
     return kept.withColumn("__nth", F.row_number().over(place)).filter("__nth = 1").select([f"`{c}`" for c in docs.columns])
