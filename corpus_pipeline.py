@@ -7,7 +7,7 @@ last adds how often each document is taken.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, linededup, mixing, rules, simhash
@@ -43,10 +43,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with ``copies``: how often each is taken."""
-    mixed = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(mixed, same).select([f"`{c}`" for c in docs.columns if c != "copies"] + [F.col("__copies").alias("copies")])
+    """The documents of the mix, with ``copies``: how often each is taken.
+
+    Equal rows are neighbours in the mix and so differ by one copy at most: the first few of them, in any
+    order, get the larger number.
+    """
+    keys = ["doc_id", "source", "text_hash"]
+    mixed = mixing.mix(docs).groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
+    mixed = mixed.agg(F.max("copies").alias("__most"), F.count_if(F.col("copies") == F.col("epochs") + 1).alias("__more"), F.min("copies").alias("__least"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__text_hash"))
+    place = Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__text_hash")
+    taken = F.when(F.row_number().over(place) <= F.col("__more"), F.col("__most")).otherwise(F.col("__least"))
+    dealt = docs.join(mixed.filter("__most > 0"), same).withColumn("__copies", taken).filter("__copies > 0")
+    return dealt.select([f"`{c}`" for c in docs.columns if c != "copies"] + [F.col("__copies").alias("copies")])
 
 
 STAGES = [

@@ -4,9 +4,10 @@ Each document draws the key ``-ln(u) / weight``: taking documents by ascending k
 without replacement. A source whose target is above its size first gives whole epochs; the rest of its target
 is filled by the documents of lowest key.
 
-The running token counts never sort a whole source in one task: keys are dealt into ``buckets`` equal shares of
-the key distribution, bucket totals are aggregated and prefix-summed (sources x buckets rows), and rows are
-sorted only within their (source, bucket).
+The running token counts never sort a whole source in one task: rows are dealt into buckets of their key's
+logarithm, bucket totals are aggregated and prefix-summed (a row per source and bucket), and rows are sorted only
+within their (source, bucket). ``ln(key)`` is Gumbel noise less ``ln(weight)``, whose density is 1/e at most, so that
+no bucket gets more than a share of ``1 / (e * buckets)`` of a source, whatever the weights are.
 """
 
 from __future__ import annotations
@@ -71,14 +72,14 @@ def mix(
     share: float = 1.0,
     max_epochs: int = 3,
     quality: Column | None = None,
-    buckets: int = 4096,
+    buckets: int = 1024,
     seed: int = 17,
 ) -> DataFrame:
     """How often each row of ``docs`` (doc_id, text, source) is taken: the columns doc_id, source, size, source_size,
-    target, copies, taken, text_hash.
+    target, epochs (whole ones), copies, taken, text_hash.
 
     ``share`` of all words is dealt to the sources by ``weights``; ``quality`` is a column of positive document
-    weights. Whole documents are taken: the one at the boundary only if that brings its source nearer to its
+    weights; ``buckets`` is how many an interval of 1 of ``ln(key)`` has. Whole documents are taken: the one at the boundary only if that brings its source nearer to its
     target. Null texts have size 0 and are never counted; null sources form one source; repeated rows are
     rows of their own (same key, so neighbours); an empty table gives no rows; other columns are ignored.
     """
@@ -87,7 +88,7 @@ def mix(
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("weight")
     keyed = cut(
         sized.withColumn("key", key)
-        .withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+        .withColumn("bucket", F.floor(F.ln("key") * buckets).cast("int"))
         .withColumn("place", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))))
         .drop("weight")
     )
@@ -103,5 +104,5 @@ def mix(
         keyed.join(dealt, ["place", "bucket"])
         .withColumn("running", running)
         .withColumn("copies", F.col("epochs") + chosen.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
+        .select("doc_id", "source", "size", "source_size", "target", "epochs", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
     )

@@ -485,3 +485,23 @@ def test_pipeline_against_brute_force(spark):
         taken[r.source] += r.copies * len(WORD.findall(r.text))
     largest = max(len(WORD.findall(r.text)) for r in before.values())
     assert all(abs(taken[s] - t) <= largest / 2 + 1 for s, t in brute_targets(sizes).items())
+
+
+def test_pipeline_mix_of_equal_rows(spark):
+    """Equal rows at a source's boundary are taken as often as the mix says, all together."""
+    import corpus_pipeline
+
+    rows = [(7, "a b c", s) for s in ("x", None) for _ in range(9)] + [(i, "a b c", s) for i, s in enumerate(["x"] * 20 + ["y"] * 40)]
+    docs = frame(spark, rows)
+    want = {(r.source, r.copies): r["count"] for r in mixing.mix(docs).filter("copies > 0").groupBy("source", "copies").count().collect()}
+    got = {(r.source, r.copies): r["count"] for r in corpus_pipeline.source_mix(spark, docs, "").groupBy("source", "copies").count().collect()}
+    assert got == want
+
+
+def test_mixing_deals_low_weights_evenly(spark):
+    """A source of low weights only does not end in one bucket."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("s").alias("source"))
+    key = -F.ln(mixing.uniform(F.col("doc_id"), 17)) / 1e-6
+    assert docs.groupBy(F.floor(F.ln(key) * 1024)).count().agg(F.max("count")).first()[0] < 0.002 * 20_000
+    got = mixing.mix(docs, share=0.25, quality=F.lit(1e-6))
+    assert got.agg(F.sum("taken")).first()[0] == 5000
