@@ -175,7 +175,8 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, min_revisit_by
     records = records.withColumn("digest", F.when(F.col("whole"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs in record "), F.col("page_id")))))
     held = records.filter("record_type = 'response'").groupBy(F.col("digest").alias("held_digest")).agg(F.max("n").alias("held_n"))
     as_id = lambda c: F.when(F.col(c) == "", None).otherwise(F.col(c)).cast(kind)
-    return records.join(held, F.col("digest") == F.col("held_digest"), "left").select(
+    # Spark takes the records to be as small as their index rows and would broadcast them: by shuffle, they may be many.
+    return records.join(held.hint("merge"), F.col("digest") == F.col("held_digest"), "left").select(
         as_id("page_id").alias("page_id"),
         F.coalesce("n", "held_n").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
