@@ -140,9 +140,15 @@ def coalesced(rows: Iterator[tuple[int, int]], gap: int, most: int) -> Iterator[
         yield start, end, held
 
 
-def read_records(selected: DataFrame, folder: str, gap: int = 65536, most: int = 8 << 20) -> DataFrame:
-    """The records (``RECORDS``) of the ``selected`` index rows; each archive is read by one task, in order."""
-    places = selected.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+def read_records(selected: DataFrame, folder: str, gap: int = 65536, most: int = 8 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+    """The records (``RECORDS``) of the ``selected`` index rows, read in order of place.
+
+    Archives are dealt out in slices of ``most`` bytes, to as many tasks as ``task_bytes`` of records each need (or
+    as run at once, if that is more): index rows are small, so their own size would bring too few tasks.
+    """
+    total, n = selected.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(n, max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))))
+    places = selected.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / most)).sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _local(folder)
