@@ -38,11 +38,14 @@ class VectorStore:
     """
 
     SCHEMA = "id string, vector array<float>, metadata string"
+    #: Kinds of index: those that are searched exactly, and those whose rows are partitioned by their nearest centre.
+    EXACT, CLUSTERED = ("flat", "hnsw", "pq", "sq"), ("ivf", "partitioned")
 
     def __init__(self, spark: SparkSession, folder: str, dimension: int, metric: str = "cosine"):
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}")
         self.spark, self.folder, self.dimension, self.metric = spark, folder, dimension, metric
+        self.centers: list[list[float]] | None = None
 
     def rows(self) -> DataFrame:
         found = read_version(self.spark, self.folder)
@@ -52,9 +55,21 @@ class VectorStore:
         """Insert, or replace rows of the same id; of repeated new ids the last by ``order``. A wrong dimension fails the write."""
         fits = F.when(F.size("vector") == self.dimension, F.col("vector")).otherwise(F.raise_error(F.lit(f"vectors must have dimension {self.dimension}")).cast("array<float>"))
         commit_version(upsert(self.rows(), new.withColumn("vector", fits), ["id"], order), self.folder)
+        self.drop_index()
 
     def delete(self, ids: Iterable[str]) -> None:
         commit_version(self.rows().filter(~F.col("id").isin(list(ids))), self.folder)
+        self.drop_index()
+
+    def create_index(self, kind: str = "flat", clusters: int = 100, **fit) -> None:
+        """Index the rows as they are now; a later change of the collection drops the index."""
+        if kind not in self.EXACT + self.CLUSTERED:
+            raise ValueError(f"unknown index {kind!r}; known: {', '.join(self.EXACT + self.CLUSTERED)}")
+        self.centers = search.build_index(self.rows(), f"{self.folder}_index", clusters, **fit) if kind in self.CLUSTERED else None
+
+    def drop_index(self) -> None:
+        """Search all rows from now on; the folder of an index stays until the next one replaces it."""
+        self.centers = None
 
     def get(self, id_: str) -> DataFrame:
         return self.rows().filter(F.col("id") == id_)
@@ -62,7 +77,10 @@ class VectorStore:
     def count(self) -> int:
         return self.rows().count()
 
-    def search(self, query: Sequence[float], k: int, where: Column | str | None = None, metric: str | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, where: Column | str | None = None, metric: str | None = None, probes: int = 10) -> DataFrame:
+        """The nearest ``k`` rows: of the ``probes`` nearest clusters with a clustered index, else of all."""
         if len(query) != self.dimension:
             raise ValueError(f"the query has dimension {len(query)}, the collection {self.dimension}")
+        if self.centers:
+            return search.search_index(self.spark, f"{self.folder}_index", self.centers, query, k, probes, metric=metric or self.metric, where=where).drop("cluster")
         return search.search(self.rows(), query, k, metric or self.metric, where=where)

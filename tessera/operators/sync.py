@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,11 +25,15 @@ def map_type(word: str) -> T.DataType:
 
 
 def _last(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row per key: the last by ``order`` (without it: any, the keys being unique)."""
+    """One row per key: the last by ``order`` (without it: any, the keys being unique). Rows with a null in a key
+    are equal to no other and all stay; they are not dealt out by key, as they may be many."""
+    whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
     if order is None:
-        return changes.dropDuplicates(keys)
-    place = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return changes.withColumn("__nth", F.row_number().over(place)).filter("__nth = 1").drop("__nth")
+        last = changes.filter(whole).dropDuplicates(keys)
+    else:
+        place = Window.partitionBy(*keys).orderBy(F.desc(order))
+        last = changes.filter(whole).withColumn("__nth", F.row_number().over(place)).filter("__nth = 1").drop("__nth")
+    return last if not any(changes.schema[k].nullable for k in keys) else last.unionByName(changes.filter(~whole))
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -110,7 +115,7 @@ def incremental_sync(source: DataFrame, folder: str, keys: list[str], modified:
     """Upsert what changed since ``watermark`` into the versioned table at ``folder``; create it if there is none."""
     target = read_version(source.sparkSession, folder)
     changes = changed_since(source, modified, watermark) if modified else source
-    return commit_version(changes if target is None else upsert(target, changes, keys, modified), folder)
+    return commit_version(_last(changes, keys, modified) if target is None else upsert(target, changes, keys, modified), folder)
 
 
 @dataclass
@@ -173,3 +178,13 @@ class ChangeTracker:
     def mark_synced(self, name: str, at) -> ChangeTracker:
         synced = F.when(F.col("table_name") == name, F.lit(at).cast("timestamp")).otherwise(F.col("last_synced"))
         return ChangeTracker(self.state.withColumn("last_synced", synced))
+
+
+def sync_tables(sources: dict[str, DataFrame], root: str, keys: dict[str, list[str]], tracker: ChangeTracker, at, force: bool = False) -> ChangeTracker:
+    """Upsert each of ``sources`` that has changed since its last sync (``force``: every one) into the versioned
+    table of its name under ``root``; the tracker with them marked as synced at ``at``."""
+    changed = set(sources) if force else {r["table_name"] for r in tracker.pending().select("table_name").collect()}
+    for name in sorted(changed & set(sources)):
+        incremental_sync(sources[name], f"{root}/{name}", keys[name])
+        tracker = tracker.mark_synced(name, at)
+    return tracker

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import sql
 from tessera.functions import vectors as V
 from tessera.functions.times import time_bucket
 from tessera.operators import analytics, records, search, store, sync
@@ -237,6 +238,18 @@ def metadata_semi_join(spark, sf_dir):
     return store.with_metadata(events, pairs, "event_id", {"k": 11, "absent": None}).select("event_id", "value")
 
 
+@registered(f"{_Q} SELECT vec_id, round(list_distance(a, b), 5) AS l2, round({_DISTANCE['cosine']}, 5) AS cosine, round({_DISTANCE['dot']}, 5) AS dot, round({_DISTANCE['manhattan']}, 5) AS manhattan FROM e, q")
+def sql_vector_functions(spark, sf_dir):
+    """The distances by name in SQL, over vectors as text."""
+    sql.register(spark)
+    views(spark, sf_dir, "embeddings")
+    return spark.sql(
+        """SELECT vec_id, round(l2_distance(v, q), 5) AS l2, round(cosine_distance(v, q), 5) AS cosine, round(dot_product(v, q), 5) AS dot, round(manhattan_distance(v, q), 5) AS manhattan
+        FROM (SELECT vec_id, to_json(embedding) AS v, to_json(:q) AS q FROM embeddings)""",
+        args={"q": V.literal(_query_vector(spark, sf_dir))},
+    )
+
+
 # Relational queries
 
 

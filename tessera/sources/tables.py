@@ -72,6 +72,11 @@ def describe(spark: SparkSession, name: str) -> list[dict]:
     return [{"name": c.name, "type": c.dataType, "nullable": c.nullable} for c in spark.catalog.listColumns(name)]
 
 
+def analyze(spark: SparkSession, name: str, columns: bool = True) -> None:
+    """Statistics of a managed table, also of its columns, for Spark's cost-based choices."""
+    spark.sql("ANALYZE TABLE IDENTIFIER(:name) COMPUTE STATISTICS" + " FOR ALL COLUMNS" * columns, {"name": name})
+
+
 def select_tables(spark: SparkSession, include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:
     """Tables to work on: all but system ones (leading underscore) and ``exclude``; of ``include`` only, if given."""
     names = {t.name for t in spark.catalog.listTables() if not t.name.startswith("_")}

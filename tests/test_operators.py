@@ -148,9 +148,67 @@ def test_vector_store(spark, store, tmp_path):
         collection.add(spark.createDataFrame([("v6", [1.0], None)], VectorStore.SCHEMA))
 
 
+def test_vector_store_index(spark, tmp_path):
+    from tessera.operators.store import VectorStore
+
+    rows = spark.createDataFrame([(str(i), [float(i % 5), float(i // 5), 1.0], None) for i in range(50)], VectorStore.SCHEMA)
+    collection = VectorStore(spark, f"{tmp_path}/c", 3, "euclidean")
+    collection.add(rows)
+    exact = [r.id for r in collection.search([2, 3, 1], 4).collect()]
+    for kind in ("hnsw", "ivf"):
+        collection.create_index(kind, 4)
+        found = collection.search([2, 3, 1], 4, probes=4)
+        assert [r.id for r in found.collect()] == exact and found.columns == [*rows.columns, "similarity", "distance"]
+    assert collection.centers
+    collection.delete([exact[0]])
+    assert [r.id for r in collection.search([2, 3, 1], 3).collect()] == exact[1:]
+    with pytest.raises(ValueError, match="index"):
+        collection.create_index("tree")
+
+
+def test_sql_vector_functions(spark):
+    from tessera.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT l2_distance('[0,3]', '[4,0]') a, manhattan_distance('[0,3]', '[4,0]') b, hamming_distance('[1,2]', '[1,3]') c, dot_product('[1,2]', '[3,4]') d, cosine_distance('[1,0]', '[0,0]') e, cosine_distance(NULL, '[1]') f").first()
+    assert tuple(row) == (5.0, 7.0, 1.0, -11.0, 1.0, None)
+    with pytest.raises(Exception, match="dimension"):
+        spark.sql("SELECT l2_distance(v, '[1]') FROM VALUES ('[1,2]') AS t(v)").collect()
+
+
+def test_statistics_of_a_managed_table(spark):
+    from tessera.sources import tables
+
+    tables.create_table_as(spark, "analyzed", spark.range(7), managed=True)
+    tables.analyze(spark, "analyzed")
+    assert any("7 rows" in r.data_type for r in spark.sql("DESCRIBE EXTENDED analyzed").collect())
+
+
 # Synchronisation
 
 
+def test_repeated_and_null_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "c", 1), (None, "d", 2)], "id int, name string, at int")
+    folder = f"{tmp_path}/first"
+    sync.incremental_sync(rows, folder, ["id"], "at")
+    assert sorted(r.name for r in sync.read_version(spark, folder).collect()) == ["b", "c", "d"]
+    got = sync.upsert(spark.createDataFrame([(1, "old", 0), (None, "e", 0)], rows.schema), rows, ["id"])
+    assert sorted(r.id or 0 for r in got.collect()) == [0, 0, 0, 1] and "old" not in {r.name for r in got.collect()}
+
+
+def test_sync_of_changed_tables(spark, tmp_path):
+    import datetime
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    sources = {n: spark.createDataFrame([(1, n)], "id int, name string") for n in ("a", "b")}
+    keys, root = {"a": ["id"], "b": ["id"]}, str(tmp_path)
+    tracker = sync.sync_tables(sources, root, keys, sync.ChangeTracker.empty(spark).register("a", day(1)), day(2))
+    assert sync.read_version(spark, f"{root}/a").count() == 1 and sync.read_version(spark, f"{root}/b") is None
+    assert tracker.pending().count() == 0
+    sync.sync_tables(sources, root, keys, tracker, day(3), force=True)
+    assert sync.read_version(spark, f"{root}/b").first().name == "b"
+
+
 def test_changes_with_deletes(spark):
     target = spark.createDataFrame([(1, "test1", 10.5), (2, "test2", 20.5)], "id long, name string, value double")
     changes = spark.createDataFrame([(1, "x", 0.0, "UPDATE", 1), (1, "updated_test1", 15.5, "UPDATE", 2), (2, None, None, "DELETE", 3), (3, "test3", 30.5, "INSERT", 4)], "id long, name string, value double, op string, seq int")
