@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,32 +13,42 @@ from tessera.functions.times import time_bucket
 AGGREGATES = ("sum", "avg", "min", "max", "count", "stddev", "variance", "median")
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False, digits: int | None = None) -> DataFrame:
+def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False, digits: int | None = None, quartiles: bool = True) -> DataFrame:
     """A row per column: name, type, min, max, distinct, avg, std, quartiles, count of values, share of nulls.
 
-    All figures come from one aggregation over the table; ``exact`` replaces the sketches (distinct values,
-    quartiles) by exact ones. ``digits`` rounds avg and std.
+    All figures come from one aggregation over the table. ``exact`` replaces the sketches (distinct values,
+    quartiles) by exact figures from each column's value counts: every column is then read once more, by itself,
+    and only its distinct values are shuffled. ``digits`` rounds avg and std; without ``quartiles`` there are none.
     """
     columns = columns or df.columns
-    aggregates, rows = [F.count(F.lit(1)).alias("__rows")], []
+    aggregates, rows, counted = [F.count(F.lit(1)).alias("__rows")], [], []
     rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    quarters, none = ((25, 50, 75) if quartiles else ()), F.lit(None).cast("double")
     for i, name in enumerate(columns):
         kind, c = df.schema[name].dataType, F.col(f"`{name}`")
         number = isinstance(kind, T.NumericType)
         ordered = not isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType))
         plain = c if ordered else F.to_json(F.struct(c))
-        quantile = F.percentile if exact else F.percentile_approx
         parts = {
             "min": F.min(plain).cast("string"),
             "max": F.max(plain).cast("string"),
-            "n_distinct": F.count_distinct(plain) if exact else F.approx_count_distinct(plain),
-            "avg": rounded(F.avg(c)) if number else F.lit(None).cast("double"),
-            "std": rounded(F.stddev(c)) if number else F.lit(None).cast("double"),
-        } | {f"q{q}": (quantile(c, F.lit(q / 100)).cast("double") if number else F.lit(None).cast("double")) for q in (25, 50, 75)}
-        aggregates += [v.alias(f"__{i}_{k}") for k, v in (parts | {"count": F.count(c)}).items()]
+            "avg": rounded(F.avg(c)) if number else none,
+            "std": rounded(F.stddev(c)) if number else none,
+            "count": F.count(c),
+        }
+        if exact:
+            values = df.filter(c.isNotNull()).groupBy(plain.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            quantiles = [(F.percentile("v", F.lit(q / 100), F.col("n")).cast("double") if number else none).alias(f"q{q}") for q in quarters]
+            counted.append(values.agg(F.count("v").alias("n_distinct"), *quantiles).withColumn("column_name", F.lit(name)))
+        else:
+            parts |= {"n_distinct": F.approx_count_distinct(plain)} | {f"q{q}": (F.percentile_approx(c, F.lit(q / 100)).cast("double") if number else none) for q in quarters}
+        aggregates += [v.alias(f"__{i}_{k}") for k, v in parts.items()]
         nulls = F.lit(100.0) * (F.col("__rows") - F.col(f"__{i}_count")) / F.greatest(F.col("__rows"), F.lit(1))
-        rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind.simpleString()).alias("column_type"), *[F.col(f"__{i}_{k}").alias(k) for k in [*parts, "count"]], nulls.alias("null_percentage")))
-    return df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind.simpleString()).alias("column_type"), *[F.col(f"__{i}_{k}").alias(k) for k in parts], nulls.alias("null_percentage")))
+    out = df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if exact:  # a row per column
+        out = out.join(F.broadcast(reduce(DataFrame.unionAll, counted)), "column_name")
+    return out.select("column_name", "column_type", "min", "max", "n_distinct", "avg", "std", *[f"q{q}" for q in quarters], "count", "null_percentage")
 
 
 def time_series(df: DataFrame, ts: str, value: str, width: str, aggregate: str = "sum", digits: int | None = None) -> DataFrame:

@@ -87,7 +87,14 @@ def _profile_sql() -> str:
 @registered(_profile_sql())
 def profile_lineitem(spark, sf_dir):
     columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
-    return analytics.profile(table(spark, sf_dir, "lineitem"), columns, exact=True, digits=4).drop("q25", "q50", "q75")
+    return analytics.profile(table(spark, sf_dir, "lineitem"), columns, exact=True, digits=4, quartiles=False)
+
+
+@registered(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS q25, CAST(quantile_cont({c}, 0.5) AS DOUBLE) AS q50, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS q75 FROM lineitem" for c in ("l_quantity", "l_discount", "l_linenumber"))
+)
+def profile_quartiles(spark, sf_dir):
+    return analytics.profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_linenumber"], exact=True).select("column_name", "q25", "q50", "q75")
 
 
 @registered("""
