@@ -26,14 +26,14 @@ def map_type(word: str) -> T.DataType:
 
 def _last(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """One row per key: the last by ``order`` (without it: any, the keys being unique). Rows with a null in a key
-    are equal to no other and all stay; they are not dealt out by key, as they may be many."""
+    are equal to no other: all stay, and they are dealt out by a number of their own, as they may be many."""
     whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
+    if any(changes.schema[k].nullable for k in keys):
+        changes, keys = changes.withColumn("__alone", F.when(~whole, F.monotonically_increasing_id())), [*keys, "__alone"]
     if order is None:
-        last = changes.filter(whole).dropDuplicates(keys)
-    else:
-        place = Window.partitionBy(*keys).orderBy(F.desc(order))
-        last = changes.filter(whole).withColumn("__nth", F.row_number().over(place)).filter("__nth = 1").drop("__nth")
-    return last if not any(changes.schema[k].nullable for k in keys) else last.unionByName(changes.filter(~whole))
+        return changes.dropDuplicates(keys).drop("__alone")
+    place = Window.partitionBy(*keys).orderBy(F.desc(order))
+    return changes.withColumn("__nth", F.row_number().over(place)).filter("__nth = 1").drop("__nth", "__alone")
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
