@@ -146,6 +146,17 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _marked(docs: DataFrame, max_bits: int, shingle: int) -> DataFrame:
+    """As near_duplicates, and root (the least fingerprint of the component): its key, while component_id need not be unique."""
+    prints = cut(fingerprints(docs, shingle))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(classes, max_bits))  # node, root: only classes with links
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    members = cut(rooted.join(first, "root").select("fp", "component_id", "root"))
+    return prints.join(members, "fp").select("doc_id", "k1", "k2", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, k1, k2, fp, component_id (the smallest doc_id that links reach) per row of ``docs``.
 
@@ -153,19 +164,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> Dat
     component has no other id; repeated rows stay and share their component; an empty table gives no rows;
     other columns are ignored.
     """
-    prints = cut(fingerprints(docs, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(classes, max_bits))  # node, root: only classes with links
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = cut(rooted.join(first, "root").select("fp", "component_id"))
-    return prints.join(members, "fp").select("doc_id", "k1", "k2", "fp", "component_id")
+    return _marked(docs, max_bits, shingle).drop("root")
 
 
 def keep_one(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> DataFrame:
     """``docs`` with only the row of smallest doc_id of each group of near-duplicates; of equal rows, one."""
-    marked = near_duplicates(docs, max_bits, shingle)
-    best = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    marked = _marked(docs, max_bits, shingle)
+    best = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("k"))
     kept = docs.select("*", *row_keys("__")).join(best.select(F.col("k.k1").alias("__of1"), F.col("k.k2").alias("__of2")), (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")))
     # Equal rows have equal keys, and lie together after the join.
     place = Window.partitionBy("__k1", "__k2").orderBy("__k1")

@@ -272,6 +272,14 @@ def test_simhash_against_brute_force(spark):
     assert simhash.keep_one(frame(spark, odd_rows())).count() == 5
 
 
+def test_near_dedup_keeps_unlinked_rows_of_null_and_repeated_ids(spark):
+    texts = ["the quick brown fox jumps over a dog", "seven ships sailed north in early spring", "bread and salt lay upon the long table", "her letters were never sent to anyone"]
+    rows = [(i, t, "s") for i, t in zip([None, None, 7, 7], texts, strict=True)]
+    more = [(None, texts[0].upper(), "s"), (7, texts[2], "s"), (3, texts[3].upper(), "s")]  # one group each with the first, third and fourth
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(frame(spark, rows + more)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (3, texts[3])], key=str)
+
+
 def test_golay_links_every_pair(spark):
     rng = random.Random(2)
     pairs = set()
