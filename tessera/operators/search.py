@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 
@@ -24,6 +29,114 @@ def search(df: DataFrame, query: Sequence[float], k: int, metric: str = "cosine"
     return scored.orderBy(F.desc_nulls_last("similarity"), id_col).limit(k)
 
 
+def _chunks(df: DataFrame, id_col: str, vector: str, most: int) -> DataFrame:
+    """Rows of ``df`` packed ``most`` to a row: ids in order, whether each has a vector, their dimension, and the vectors as doubles."""
+    schema = T.StructType([T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), *[T.StructField(n, T.BinaryType()) for n in ("has", "data")], T.StructField("size", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                part = part.take(pc.sort_indices(part.column(0), null_placement="at_start"))
+                ids, vectors = part.column(0), part.column(1)
+                flat = vectors.flatten().cast(pa.float64())
+                sizes = {n for n in pc.list_value_length(vectors).to_pylist() if n is not None}
+                if len(sizes) > 1:
+                    raise ValueError("vectors differ in dimension")
+                if flat.null_count:
+                    raise ValueError("vectors have null components")
+                has = np.asarray(vectors.is_valid().to_numpy(zero_copy_only=False), bool)
+                size = sizes.pop() if sizes else -1
+                offsets = pa.array([0, len(ids)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, ids), pa.array([has.tobytes()], pa.binary()), pa.array([flat.to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([size], pa.int64())], names=["ids", "has", "data", "size"])
+
+    return df.select(id_col, vector).mapInArrow(run, schema)
+
+
+def search_all(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector", block: int = 256) -> DataFrame:
+    """The ``k`` rows nearest to each row of ``queries``: query_id, ``id_col``, similarity, distance, rank; ties by id, as ``search``.
+
+    Ids of queries are unique; queries without a vector have no neighbours. ``block`` queries meet ``block`` rows at a
+    time, and each task keeps ``k`` rows per query before the shuffle. Sums go component by component as those of
+    ``vectors`` do, so that equal vectors have equal similarities wherever they lie.
+    """
+    if metric not in V.METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(V.METRICS)}")
+    spark = df.sparkSession
+    # A pair of blocks is one row: Arrow batches are held to a few of them.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")), 32 << 20)))
+    tasks = spark.sparkContext.defaultParallelism
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).filter("v IS NOT NULL").coalesce(tasks)
+    left = _chunks(asked, "q", "v", block).withColumnsRenamed({"ids": "qs", "data": "query", "size": "query_size"}).drop("has")
+    right = _chunks(df.select(id_col, vector).repartition(4 * tasks), id_col, vector, block)
+    pairs = right.crossJoin(left).select("ids", "has", "data", "size", "qs", "query", "query_size")
+    schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("i", df.schema[id_col].dataType), *[T.StructField(n, T.DoubleType()) for n in ("similarity", "distance", "key")]])
+    names = schema.fieldNames()
+
+    def scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros((len(b), len(a)))
+        for x, y in zip(a.T, b.T, strict=True):
+            if metric in ("cosine", "dot"):
+                total += x[None, :] * y[:, None]
+            else:
+                gap = x[None, :] - y[:, None]
+                total += np.abs(gap) if metric == "manhattan" else gap * gap
+        if metric == "dot":
+            return total, -total
+        if metric == "cosine":
+            squares = [np.zeros(len(v)) for v in (a, b)]
+            for square, v in zip(squares, (a, b), strict=True):
+                for x in v.T:
+                    square += x * x
+            norms = np.sqrt(squares[0])[None, :] * np.sqrt(squares[1])[:, None]
+            near = np.divide(total, norms, out=np.zeros_like(total), where=norms != 0)
+            return near, 1 - near
+        far = np.sqrt(total) if metric == "euclidean" else total
+        return 1 / (1 + far), far
+
+    def best(found: pa.Table) -> pa.Table:
+        """The first ``k`` rows of each query."""
+        found = found.combine_chunks()
+        codes = pc.dictionary_encode(found["q"].combine_chunks(), null_encoding="encode").indices
+        order = pc.sort_indices(pa.table({"c": codes, "k": found["key"], "i": found["i"]}), [("c", "ascending"), ("k", "ascending"), ("i", "ascending")], null_placement="at_start")
+        c = codes.take(order).to_numpy()
+        first = np.searchsorted(c, c)
+        return found.take(order.filter(pa.array(np.arange(len(c)) - first < k)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            for n in range(batch.num_rows):
+                ids, has, data, size, qs, query, query_size = (batch.column(j)[n] for j in range(7))
+                ids, qs, has = ids.values, qs.values, np.frombuffer(has.as_py(), bool)
+                if size.as_py() not in (-1, query_size.as_py()):
+                    raise ValueError("vectors differ in dimension")
+                b = np.frombuffer(query.as_py()).reshape(len(qs), -1)
+                near, far = np.full((len(qs), len(ids)), np.nan), np.full((len(qs), len(ids)), np.nan)
+                near[:, has], far[:, has] = scores(np.frombuffer(data.as_py()).reshape(int(has.sum()), b.shape[1]), b)
+                # As Spark's order: NaN first, rows without a vector last; ids are in order, so a stable sort settles ties.
+                key = np.where(np.isnan(near), -np.inf, -near)
+                key[:, ~has] = np.inf
+                at = np.argsort(key, axis=1, kind="stable")[:, :k]
+                take = lambda x: np.take_along_axis(x, at, 1).ravel()  # noqa: B023, E731
+                none = ~has[at.ravel()]
+                held.append(pa.RecordBatch.from_arrays([qs.take(pa.array(np.repeat(np.arange(len(qs)), at.shape[1]))), ids.take(pa.array(at.ravel())), pa.array(take(near), mask=none), pa.array(take(far), mask=none), pa.array(take(key))], names=names))
+                rows += held[-1].num_rows
+                if rows > 500_000:
+                    kept = best(pa.Table.from_batches(held))
+                    held, rows = kept.to_batches(), kept.num_rows
+                    if rows > 250_000:
+                        yield from held
+                        held, rows = [], 0
+        if held:
+            yield from best(pa.Table.from_batches(held)).to_batches()
+
+    place = Window.partitionBy("q").orderBy(F.desc_nulls_last("similarity"), "i")
+    ranked = pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias("query_id"), F.col("i").alias(id_col), "similarity", "distance", "rank")
+
+
 def nearest_per_group(df: DataFrame, query: Sequence[float], k: int, group: str, metric: str = "cosine", id_col: str = "id", vector: str = "vector") -> DataFrame:
     """The ``k`` nearest rows of each group. Spark turns the rank limit into a limit per task before the shuffle."""
     scored = df.withColumn("similarity", V.similarity(metric, F.col(vector), V.literal(query)))

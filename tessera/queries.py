@@ -182,6 +182,26 @@ registered(
 )(_top("euclidean", normalize=True))
 
 
+_ALL = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 50 = 0), e AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings)"
+
+
+def _top_of_all(metric: str, k: int = 10) -> Query:
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, "embeddings")
+        found = search.search_all(df, df.filter("vec_id % 50 = 0"), k, metric, "vec_id", "embedding", "vec_id", "embedding")
+        return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+    return run
+
+
+for _metric in V.METRICS:
+    registered(
+        f"""{_ALL} SELECT query_id, vec_id, round({_SIMILARITY[_metric]}, 6) AS similarity, round({_DISTANCE[_metric]}, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY {_SIMILARITY[_metric]} DESC, vec_id) AS rank
+        FROM e, q QUALIFY rank <= 10""",
+        f"topk_all_{_metric}",
+    )(_top_of_all(_metric))
+
+
 @registered(f"{_Q} SELECT vec_id, {', '.join(f'round({s}, 5) AS sim_{m}, round({_DISTANCE[m]}, 5) AS dist_{m}' for m, s in _SIMILARITY.items())} FROM e, q")
 def dist_metric_table(spark, sf_dir):
     b = V.literal(_query_vector(spark, sf_dir))

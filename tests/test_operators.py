@@ -116,6 +116,21 @@ def test_search(store):
         V.metadata_filter(F.col("metadata"), {"a') OR 1": 1})
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_search_of_all_queries_equals_each_search(spark, metric):
+    rows = [(f"v{i}", [float(i % 7), float(i % 3), 0.125 * (i % 11)]) for i in range(60)] + [("zero", [0.0, 0.0, 0.0]), ("none", None), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, vector array<float>").repartition(3)
+    queries = df.filter("id IN ('v0', 'v5', 'v17', 'v59', 'zero', 'none')")
+    for k in (4, 99):
+        got = {}
+        for r in search.search_all(df, queries, k, metric, query_id="id", block=8).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, r.similarity, r.distance))
+        assert set(got) == {"v0", "v5", "v17", "v59", "zero"}
+        for q, found in got.items():
+            assert found == [(r.id, r.similarity, r.distance) for r in search.search(df, dict(rows)[q], k, metric).collect()]
+    assert search.search_all(df, queries.limit(0), 3, metric, query_id="id").count() == search.search_all(df.limit(0), queries, 3, metric, query_id="id").count() == 0
+
+
 def test_index_with_all_probes_is_exact_and_prunes(spark, store, tmp_path, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     folder = f"{tmp_path}/ivf"
