@@ -176,19 +176,69 @@ def fit_centers(df: DataFrame, clusters: int, vector: str = "vector", rounds: in
     return centers
 
 
-def build_index(df: DataFrame, folder: str, clusters: int = 16, vector: str = "vector", **fit) -> list[list[float]]:
-    """Write ``df`` partitioned by its nearest centre; return the centres."""
-    centers = fit_centers(df, clusters, vector, **fit)
+class Centers(list):
+    """Centres of an index; ``bounds`` has of each cluster how far its rows go: r2 and r1 (Euclidean and Manhattan distance from
+    the centre), angle from the centre, and whether it has zero vectors."""
+
+    bounds: dict[int, dict]
+
+
+def build_index(df: DataFrame, folder: str, clusters: int = 16, vector: str = "vector", **fit) -> Centers:
+    """Write ``df`` partitioned by its nearest centre; return the centres with the bounds of their clusters."""
+    centers = Centers(fit_centers(df, clusters, vector, **fit))
     cluster = nearest_centroid(F.col(vector), centers) if centers else F.lit(0)
     df.withColumn("cluster", F.coalesce(cluster, F.lit(-1))).write.mode("overwrite").partitionBy("cluster").parquet(folder)
+    centers.bounds = {}
+    if centers:
+        spark = df.sparkSession
+        own = F.broadcast(spark.createDataFrame(list(enumerate(centers)), "cluster int, __center array<double>"))
+        a, c = F.col(vector), F.col("__center")
+        cosine = F.least(F.greatest(V.cosine(a, c), F.lit(-1.0)), F.lit(1.0))
+        found = spark.read.parquet(folder).filter("cluster >= 0").join(own, "cluster").groupBy("cluster")
+        found = found.agg(F.max(V.euclidean(a, c)).alias("r2"), F.max(V.manhattan(a, c)).alias("r1"), F.max(F.acos(cosine)).alias("angle"), F.max(V.norm(a) == 0).alias("zero"))
+        centers.bounds = {r["cluster"]: r.asDict() for r in found.collect()}
     return centers
 
 
-def search_index(spark: SparkSession, folder: str, centers: list[list[float]], query: Sequence[float], k: int, probes: int = 4, **options) -> DataFrame:
-    """The ``k`` nearest rows in the ``probes`` clusters nearest to ``query``; the other partitions are not read."""
+def nearest_possible(metric: str, query: Sequence[float], center: Sequence[float], bound: dict) -> float:
+    """No row of the cluster has a higher similarity to ``query``; a little more, for rounding."""
+    q, c = np.array(query, float), np.array(center, float)
+    size = float(np.linalg.norm(q))
+    if metric == "cosine":
+        if not size or not np.linalg.norm(c):
+            return math.inf
+        apart = math.acos(min(1.0, max(-1.0, float(q @ c) / (size * float(np.linalg.norm(c)))))) - bound["angle"]
+        most = math.cos(max(0.0, apart))
+        return (max(most, 0.0) if bound["zero"] else most) + 1e-6
+    if metric == "dot":
+        reach = size * bound["r2"]
+        return float(q @ c) + reach + 1e-9 * (1 + abs(float(q @ c)) + reach)
+    far, reach = (float(np.linalg.norm(q - c)), bound["r2"]) if metric == "euclidean" else (float(np.abs(q - c).sum()), bound["r1"])
+    return 1 / (1 + max(0.0, far - reach - 1e-9 * (1 + far + reach)))
+
+
+def search_index(spark: SparkSession, folder: str, centers: list[list[float]], query: Sequence[float], k: int, probes: int | None = None, metric: str = "cosine", normalize: bool = False, **options) -> DataFrame:
+    """The ``k`` nearest rows of the index, exactly as ``search``; partitions that cannot hold one are not read.
+
+    The cluster nearest to ``query`` gives a k-th best similarity, at once; the search then covers the clusters whose bounds
+    allow as much. Without bounds, with ``normalize`` or with fewer than ``k`` rows there, it covers all. With ``probes`` it
+    covers that many nearest clusters instead and may miss neighbours.
+    """
     order = sorted(range(len(centers)), key=lambda i: (sum((a - b) ** 2 for a, b in zip(query, centers[i], strict=True)), i))
     rows = spark.read.parquet(folder)
-    return search(rows.filter(F.col("cluster").isin(order[:probes])), query, k, **options)
+    options |= {"metric": metric, "normalize": normalize}
+    if probes is not None:
+        return search(rows.filter(F.col("cluster").isin(order[:probes])), query, k, **options)
+    bounds = getattr(centers, "bounds", {})
+    if not bounds or normalize:
+        return search(rows, query, k, **options)
+    first = next(i for i in order if i in bounds)
+    n, worst = search(rows.filter(F.col("cluster") == first), query, k, **options).agg(F.count("similarity"), F.min("similarity")).first()
+    if n < k or worst is None:
+        return search(rows, query, k, **options)
+    # A bound that is not a number excludes nothing.
+    wanted = [i for i in order if i in bounds and not nearest_possible(metric, query, centers[i], bounds[i]) < worst]
+    return search(rows.filter(F.col("cluster").isin(wanted)), query, k, **options)
 
 
 def upsert_vectors(store: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:

@@ -77,8 +77,8 @@ class VectorStore:
     def count(self) -> int:
         return self.rows().count()
 
-    def search(self, query: Sequence[float], k: int, where: Column | str | None = None, metric: str | None = None, probes: int = 10) -> DataFrame:
-        """The nearest ``k`` rows: of the ``probes`` nearest clusters with a clustered index, else of all."""
+    def search(self, query: Sequence[float], k: int, where: Column | str | None = None, metric: str | None = None, probes: int | None = None) -> DataFrame:
+        """The nearest ``k`` rows of all; with a clustered index and ``probes``, of that many nearest clusters."""
         if len(query) != self.dimension:
             raise ValueError(f"the query has dimension {len(query)}, the collection {self.dimension}")
         if self.centers:

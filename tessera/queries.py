@@ -6,6 +6,8 @@ by unrounded value, then id.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -164,6 +166,14 @@ _SIMILARITY = {
 _DISTANCE = {"cosine": "1 - list_cosine_similarity(a, b)", "dot": "-list_inner_product(a, b)", "euclidean": "list_distance(a, b)", "manhattan": "list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1] - p[2])))"}
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local master without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or tempfile.mkdtemp(prefix="tessera-")).rstrip("/")
+
+
 def _top(metric: str, k: int = 10, **options) -> Query:
     def run(spark, sf_dir):
         found = search.search(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), k, metric, "vec_id", "embedding", **options)
@@ -239,6 +249,15 @@ def ivf_exhaustive_equals_flat(spark, sf_dir):
     return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@registered(f"{_Q} SELECT vec_id, round({_SIMILARITY['cosine']}, 6) AS similarity FROM e, q ORDER BY {_SIMILARITY['cosine']} DESC, vec_id LIMIT 10")
+def ivf_index(spark, sf_dir):
+    """An index on disk at its defaults."""
+    folder = f"{_shared(spark)}/tessera-index-{uuid.uuid4().hex}"
+    centers = search.build_index(table(spark, sf_dir, "embeddings"), folder, vector="embedding")
+    found = search.search_index(spark, folder, centers, _query_vector(spark, sf_dir), 10, id_col="vec_id", vector="embedding")
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @registered("SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id, 99 AS label FROM embeddings WHERE vec_id % 7 = 0")
 def vector_upsert(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label")

@@ -145,6 +145,28 @@ def test_index_with_all_probes_is_exact_and_prunes(spark, store, tmp_path, sf):
     assert search.fit_centers(df.limit(0), 3, "embedding") == []
 
 
+def test_index_at_its_defaults_loses_no_neighbour(spark, tmp_path, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").cache()
+    folder = f"{tmp_path}/ivf"
+    centers = search.build_index(df, folder, vector="embedding", rounds=1)
+    query = df.filter("vec_id = 50").first().embedding
+    for metric in V.METRICS:
+        options = {"metric": metric, "id_col": "vec_id", "vector": "embedding"}
+        exact = [r.vec_id for r in search.search(df, query, 10, **options).collect()]
+        assert [r.vec_id for r in search.search_index(spark, folder, centers, query, 10, **options).collect()] == exact
+
+
+def test_index_reads_no_cluster_that_is_too_far(spark, tmp_path):
+    rows = spark.range(60).selectExpr("cast(id AS string) id", "array(cast(id % 3 * 100 + 1 AS float), cast(id / 60 AS float)) vector")
+    centers = search.Centers([[1.0, 0.5], [101.0, 0.5], [201.0, 0.5]])
+    folder = f"{tmp_path}/far"
+    rows.withColumn("cluster", F.expr("cast(id AS int) % 3")).write.partitionBy("cluster").parquet(folder)
+    centers.bounds = {i: {"r2": 0.5, "r1": 0.5, "angle": 0.5, "zero": False} for i in range(3)}
+    found = search.search_index(spark, folder, centers, [101, 0.2], 5, metric="euclidean")
+    assert [r.id for r in found.collect()] == [r.id for r in search.search(rows, [101, 0.2], 5, "euclidean").collect()]
+    assert re.search(r"PartitionFilters: \[[^\]]*cluster", plan(found))
+
+
 def test_vector_store(spark, store, tmp_path):
     from tessera.operators.store import VectorStore
 
