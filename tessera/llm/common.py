@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Spark's setting for the rows of an Arrow batch.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of texts that are worked on at a time; one text is never split.
+AT_ONCE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,32 @@ def shielded(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable
     return docs.select([F.col(f"`{c}`").alias(n) for c, n in other.items()]), lambda df: df.select([F.col(f"`{n}`").alias(c) for c, n in other.items()])
 
 
+#: Keys with more than this share of all weight are hot: there are no more than its inverse of them.
+HOT_SHARE = 1 / 10_000
+
+
+def joined_hot(left: DataFrame, right: DataFrame, weight: str, on: dict[str, str], values: list[str], spread: Column, slim: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Left join of ``left`` with ``right``, which has one row per key, where a few keys may hold most rows of ``left``.
+
+    ``on`` names the key columns of both sides, ``values`` the columns of ``right`` that are taken and ``weight`` what
+    a key weighs. At most 10,000 keys have more than 1/10,000 of all weight: their values come by broadcast, and
+    their rows are dealt over all tasks by the hash ``spread``; all others meet ``right`` by a shuffle on the key,
+    where no key is heavy. ``slim`` may drop what hot rows no longer need, before the shuffle: it sees the hot
+    values, which are null for other rows. ``right`` is read three times: give a checkpointed one.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) > F.lit(float(total)) * HOT_SHARE
+    keys = list(on.values())
+    hot = right.filter(is_hot).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], *values, F.lit(True).alias("__hot"))
+    met = left.join(F.broadcast(hot), [F.col(a) == F.col(f"__hot_{b}") for a, b in on.items()], "left").drop(*[f"__hot_{k}" for k in keys])
+    met = slim(met) if slim else met
+    met = met.withColumn("__salt", F.when(F.col("__hot"), spread.bitwiseOR(1)).otherwise(F.lit(0)))
+    rest = right.filter(~is_hot).select(*[F.col(k).alias(f"__of_{k}") for k in keys], *[F.col(v).alias(f"__of_{v}") for v in values], F.lit(0).cast("long").alias("__of_salt"))
+    same = [F.col(a) == F.col(f"__of_{b}") for a, b in on.items()] + [F.col("__salt") == F.col("__of_salt")]
+    out = met.join(rest.hint("merge"), same, "left")
+    return out.withColumns({v: F.coalesce(v, f"__of_{v}") for v in values}).drop("__hot", "__salt", "__of_salt", *[f"__of_{k}" for k in keys], *[f"__of_{v}" for v in values])
+
+
 def crc_rest(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; rows with 2 are held out of training."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
@@ -72,17 +99,27 @@ def crc_rest(doc_id: Column) -> Column:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow``, with this package on the path of workers that start where the driver runs from elsewhere.
 
-    On a cluster whose nodes do not share that path the package is shipped with ``--py-files``. Batches are held
-    to 1000 rows, since texts may be long.
+    On a cluster whose nodes do not share that path the package is shipped with ``--py-files``. Spark ends a batch
+    at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB here, unless set lower) whatever its rows are.
     """
     home, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
-    if int(df.sparkSession.conf.get(BATCH_ROWS)) > 1000:
-        df.sparkSession.conf.set(BATCH_ROWS, "1000")
     return df.mapInArrow(fn, schema)
 
 
+def _parts(values: pa.Array, at_once: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of ``values``, each of ``at_once`` rows and ``AT_ONCE_BYTES`` at most, or of one row."""
+    start = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
+        if i > start and (i - start == at_once or held + size > AT_ONCE_BYTES):
+            yield start, i - start
+            start, held = i, 0
+        held += size
+    if len(values):
+        yield start, len(values) - start
+
+
 def map_texts(
     df: DataFrame,
     added: dict[str, str],
@@ -94,7 +131,8 @@ def map_texts(
     """``df`` with the columns ``added`` (name: type), which ``fn`` makes from a list of values of ``column``.
 
     Other columns pass through as Arrow, untouched; ``keep`` names those to keep (default: all). Columns of
-    ``df`` whose names clash with ``added`` are replaced. ``fn`` sees at most ``at_once`` values at a time.
+    ``df`` whose names clash with ``added`` are replaced. ``fn`` sees at most ``at_once`` values at a time, and
+    at most ``AT_ONCE_BYTES`` of them or one.
     """
     names = [c for c in (df.columns if keep is None else keep) if c not in added]
     new = T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items()])
@@ -104,8 +142,8 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, at_once):
-                part = batch.slice(start, at_once)
+            for start, rows in _parts(batch.column(len(names)), at_once):
+                part = batch.slice(start, rows)
                 made = fn(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(names))] + [pa.array(made[f.name], f.type) for f in arrow], names=[*names, *arrow.names]

@@ -14,17 +14,23 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_folder
+from .common import cut, joined_hot, map_arrow, new_folder
 
 INDEX = "archive string, offset long, length long, page_id string, url string, digest string, record_type string"
-RECORDS = "page_id string, url string, record_type string, refers_to string, digest string, payload binary"
-HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+RECORDS = "page_id string, url string, record_type string, refers_to string, digest string, payload_bytes long, payload binary"
+#: The HTTP head of a block; a revisit has the head alone, which still tells how long the payload is.
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+#: Name of the records of pages whose id is null.
+UNNAMED = "<urn:no-page>"
+#: Uncompressed bytes after which a reading task hands its records on.
+HELD_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -33,29 +39,36 @@ def _local(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder; a plain path or a URI that Arrow knows (file, hdfs, s3, gs)."""
     if "://" not in folder and not folder.startswith("file:"):
         return fs.LocalFileSystem(), folder
+    folder = folder.replace("s3a://", "s3://", 1)
     if folder.startswith("file:"):
         return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
     return fs.FileSystem.from_uri(folder)
 
 
-def _safe(url: str | None) -> str:
-    """A URL that can stand in a header line; none: empty."""
-    return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in url or "")
+def _safe(url: str) -> str:
+    """A URL that can stand in a header line: white space and control characters, which no valid one has, are encoded."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in url)
 
 
-def record(page_id: str, url: str | None, digest: str, payload: bytes, refers_to: str | None) -> bytes:
-    """One WARC 1.1 record: a response with its payload, or a revisit without it."""
+def _urn(page_id: str | None) -> str:
+    """A name for a header line: any text as an id, percent-encoded; null has a name of its own."""
+    return UNNAMED if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def record(page_id: str | None, url: str | None, digest: str, payload: bytes | None, size: int, refers_to: str | None) -> bytes:
+    """One WARC 1.1 record: a response with its payload of ``size`` bytes, or a revisit without it."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_safe(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_safe(url)}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    block = HTTP + (payload if refers_to is None else b"")
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
+    block = HTTP.format(size).encode() + (payload or b"" if refers_to is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -64,16 +77,17 @@ def parse_record(data: bytes) -> dict:
     """Fields of ``RECORDS`` from one uncompressed record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    page = lambda name: fields[name][len("<urn:page:") : -1] if name in fields else None
+    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    page = lambda name: unquote(fields[name][len("<urn:page:") : -1]) if fields.get(name, UNNAMED) != UNNAMED else None
     kind = fields["WARC-Type"]
     return {
         "page_id": page("WARC-Record-ID"),
-        "url": fields["WARC-Target-URI"],
+        "url": fields.get("WARC-Target-URI"),
         "record_type": kind,
         "refers_to": page("WARC-Refers-To"),
         "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "payload": block.partition(b"\r\n\r\n")[2] if kind == "response" else None,
+        "payload_bytes": int(http.rpartition(b"Content-Length: ")[2]),
+        "payload": payload if kind == "response" else None,
     }
 
 
@@ -86,14 +100,23 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
 
     Of rows with equal payloads of ``min_revisit_bytes`` or more, those of the smallest page_id are responses
     and the others revisits of it. Null html is an empty payload; where all ids of a payload are null, all its
-    rows are responses. Page contents cross one shuffle, with their digests, next to the ids they refer to.
+    rows are responses. Ids may be any text, the empty one included, which is not null.
+
+    Which id a payload's first page has is found on digests and ids alone. Digests with much of all bytes are told
+    their first page by a broadcast of a bounded size and are spread over all tasks, without their contents
+    where they are revisits; the contents of the others cross one shuffle.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
-    hashed = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.sha1(payload).alias("sha1"))
-    first = hashed.groupBy(F.col("sha1").alias("of_sha1")).agg(F.min("page_id").alias("first_id"))
-    joined = hashed.join(first.hint("shuffle_hash"), F.col("sha1") == F.col("of_sha1"))
-    revisit = (F.coalesce(F.octet_length("html"), F.lit(0)) >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), "url", "html", "sha1", F.when(revisit, F.col("first_id").cast("string")).alias("refers_to"))
+    size = F.octet_length(payload).cast("long")
+    hashed = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.sha1(payload).alias("sha1"), size.alias("size"))
+    first = pages.select("page_id", F.sha1(payload).alias("of_sha1"), size.alias("size")).groupBy("of_sha1")
+    first = first.agg(F.min("page_id").alias("first_id"), F.sum(F.col("size") + 200).alias("weight"), F.count("*").alias("n"))
+    # A payload of one row is its own first page, whatever its size.
+    first = cut(first.filter("n > 1").drop("n"))
+    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("size") >= min_revisit_bytes)
+    bare = lambda rows: rows.withColumn("html", F.when(~revisit, F.col("html")))
+    joined = joined_hot(hashed, first, "weight", {"sha1": "of_sha1"}, ["first_id"], F.xxhash64("page_id", "url"), bare)
+    rows = bare(joined).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "size", "sha1", F.when(revisit, F.col("first_id").cast("string")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _local(folder)
@@ -106,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
                     store.create_dir(path, recursive=True)
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 digest, squeeze = base32(row["sha1"]), zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = squeeze.compress(record(row["page_id"], row["url"], digest, row["html"] or b"", row["refers_to"])) + squeeze.flush()
+                data = squeeze.compress(record(row["page_id"], row["url"], digest, row["html"], row["size"], row["refers_to"])) + squeeze.flush()
                 out.write(data)
                 for k, v in zip(made, (name, at, len(data), row["page_id"], row["url"], digest, "response" if row["refers_to"] is None else "revisit"), strict=True):
                     made[k].append(v)
@@ -152,7 +175,8 @@ def read_records(selected: DataFrame, folder: str, gap: int = 65536, most: int =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _local(folder)
-        schema = pa.schema([(k.split()[0], pa.binary() if k.endswith("binary") else pa.string()) for k in RECORDS.split(", ")])
+        kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+        schema = pa.schema([(k.split()[0], kinds[k.split()[1]]) for k in RECORDS.split(", ")])
         for batch in batches:
             table = batch.to_pydict()
             bounds = [i for i, a in enumerate(table["archive"]) if not i or a != table["archive"][i - 1]] + [batch.num_rows]
@@ -161,7 +185,15 @@ def read_records(selected: DataFrame, folder: str, gap: int = 65536, most: int =
                     for start, end, held in coalesced(zip(table["offset"][lo:hi], table["length"][lo:hi], strict=True), gap, most):
                         archive.seek(start)
                         data = archive.read(end - start)
-                        yield pa.RecordBatch.from_pylist([parse_record(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in held], schema=schema)
+                        rows, size = [], 0
+                        for o, n in held:
+                            rows.append(parse_record(zlib.decompress(data[o - start : o - start + n], 31)))
+                            size += rows[-1]["payload_bytes"]
+                            if size >= HELD_BYTES:
+                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                                rows, size = [], 0
+                        if rows:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return map_arrow(places, read, RECORDS)
 
@@ -170,30 +202,21 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, min_revisit_by
     """Write ``pages`` as archives (default: into a new part of the shared folder) and read all records back:
     page_id, payload_bytes, payload_digest, record_type, refers_to, with the type of ``pages.page_id``.
 
-    The digest is that of the payload as read; a revisit's payload is the one that its response holds.
+    Digest and length of a response are checked against the payload as read; a revisit has those of its response.
     An empty table gives no archive and no rows; repeated rows have records of their own.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     kind = pages.schema["page_id"].dataType
     index = write_archives(pages, folder, min_revisit_bytes)
-    records = read_records(index, folder).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"))
-    records = records.withColumn("whole", (F.col("record_type") == "revisit") | (to_base32("sha1") == F.col("digest")))
-    records = records.withColumn("digest", F.when(F.col("whole"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs in record "), F.col("page_id")))))
-    held = records.filter("record_type = 'response'").groupBy(F.col("digest").alias("held_digest")).agg(F.max("n").alias("held_n"))
-    as_id = lambda c: F.when(F.col(c) == "", None).otherwise(F.col(c)).cast(kind)
-    # Spark takes the records to be as small as their index rows and would broadcast them: by shuffle, they may be many.
-    return records.join(held.hint("merge"), F.col("digest") == F.col("held_digest"), "left").select(
-        as_id("page_id").alias("page_id"),
-        F.coalesce("n", "held_n").alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"),
-        "record_type",
-        as_id("refers_to").alias("refers_to"),
-    )
-
-
-def to_base32(sha1_hex: str):
+    records = read_records(index, folder)
+    whole = (F.col("record_type") == "revisit") | (to_base32(F.sha1("payload")) == F.col("digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
+    digest = F.when(whole, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs in record "), F.coalesce("page_id", F.lit("of no page")))))
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def to_base32(sha1_hex: Column) -> Column:
     """Base-32 text of a hexadecimal SHA-1: five hexadecimal digits are four of its digits."""
-    group = lambda i: F.conv(F.substring(F.col(sha1_hex), 5 * i + 1, 5), 16, 10).cast("int")
+    group = lambda i: F.conv(F.substring(sha1_hex, 5 * i + 1, 5), 16, 10).cast("int")
     digit = lambda i, k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(group(i), 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1))
     return F.concat(*[digit(i, k) for i in range(8) for k in range(4)])
 
