@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import new_folder
+from .common import cut, new_folder
 
 
 @dataclass(frozen=True)
@@ -49,23 +49,54 @@ BASE = RULES[:3]
 SPANS = "array<struct<start:int,end:int>>"
 
 
+#: Matches whose places are summed up in one go.
+CHUNK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once: a lambda's variable holds it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans(text: Column, rule: SecretRule) -> Column:
     """Spans of a rule's matches in code points, end exclusive: the pieces between matches and the matches
-    themselves, by their running lengths, give every place."""
+    themselves, by their running lengths, give every place.
+
+    Matches are taken in chunks: the chunks' lengths are summed up first, then places within each chunk from
+    where it begins, so that the work grows with the matches and not with their square.
+    """
     pattern = F.lit(rule.pattern)
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else None
     pieces = F.split(text, rule.pattern, -1)
-    parts = F.zip_with(F.slice(pieces, 1, F.size(hits)), F.arrays_zip(hits.alias("hit"), kept.alias("kept")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["hit"]).alias("hit"), F.length(m["kept"]).alias("kept")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {SPANS})").alias("found"))
+    shape = lambda gap, hit, of: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), F.length(of).alias("kept"))
+    if kept is None:
+        parts = _bound(hits, lambda h: F.zip_with(F.slice(pieces, 1, F.size(h)), h, lambda gap, m: shape(gap, m, m)))
+    else:
+        parts = _bound(F.arrays_zip(hits.alias("hit"), kept.alias("kept")), lambda h: F.zip_with(F.slice(pieces, 1, F.size(h)), h, lambda gap, m: shape(gap, m["hit"], m["kept"])))
+    none, no_int = F.expr(f"CAST(array() AS {SPANS})"), F.expr("CAST(array() AS array<int>)")
+
+    def placed(chunk: Column, begin: Column) -> Column:
+        """Spans of one chunk of parts."""
+
+        def step(state: Column, part: Column) -> Column:
+            at = state["at"] + part["gap"]
+            span = F.array(F.struct(at.alias("start"), (at + part["hit"]).alias("end")))
+            return F.struct((at + part["hit"]).alias("at"), F.when(part["kept"] >= rule.least, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+
+        return F.aggregate(chunk, F.struct(begin.alias("at"), none.alias("found")), step, lambda s: s["found"])
+
+    def of_chunks(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["hit"]))
+        begins = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), no_int.alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        return F.flatten(F.zip_with(chunks, begins, placed))
 
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + part["gap"]
-        span = F.array(F.struct(begin.alias("start"), (begin + part["hit"]).alias("end")))
-        return F.struct((begin + part["hit"]).alias("at"), F.when(part["kept"] >= rule.least, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+    def chunked(p: Column) -> Column:
+        starts = F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p), F.lit(CHUNK)))
+        return F.transform(starts, lambda at: F.slice(p, at, F.lit(CHUNK)))
 
-    found = F.aggregate(parts, start, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.hint or rule.pattern), found).otherwise(F.expr(f"CAST(array() AS {SPANS})"))
+    found = F.coalesce(_bound(_bound(parts, chunked), of_chunks), none)
+    return F.when(text.rlike(rule.hint or rule.pattern), found).otherwise(none)
 
 
 def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -103,13 +134,14 @@ def findings(docs: DataFrame, ledger: str, rules: Iterable[SecretRule] = RULES)
     rules = list(rules)
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
     current = read_ledger(docs.sparkSession, ledger).filter(F.col("rule").isin([r.key for r in rules])).filter(F.size("spans") > 0)
-    # Several scans or equal rows may have left a pair twice; as a set, its spans count once.
+    # Several scans or equal rows may have left a pair twice; as a set, its spans count once. As a table of its own,
+    # it lets Spark split a blob that very many rows have.
     of_blob = current.withColumn("s", F.explode("spans")).groupBy(F.col("blob").alias("has")).agg(
         F.sort_array(F.collect_set(F.struct(F.col("s.start").alias("start"), place[F.col("rule")].alias("rule"), F.col("s.end").alias("end")))).alias("found")
     )
     named = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
     none = F.expr("CAST(array() AS array<struct<start:int,rule:int,end:int>>)")
-    return named.join(of_blob, F.col("blob") == F.col("has"), "left").select("doc_id", F.coalesce("found", none).alias("found"))
+    return named.join(cut(of_blob).hint("merge"), F.col("blob") == F.col("has"), "left").select("doc_id", F.coalesce("found", none).alias("found"))
 
 
 def span_text(found: Column, rules: Iterable[SecretRule] = RULES) -> Column:

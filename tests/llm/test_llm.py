@@ -107,6 +107,26 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def test_warc_ids_of_any_text(spark):
+    rows = [("", "<p>one</p>"), (None, "<p>one</p>"), ("a\r\nb", "<p>one</p>"), ("\n", "q"), ("é /%41", "q"), (None, "alone"), ("x: y", None), ("<z>", "")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string")
+    got = {(r.page_id, r.payload_bytes): (r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect()}
+    want = {("", 10): ("response", None), (None, 10): ("revisit", ""), ("a\r\nb", 10): ("revisit", ""), ("\n", 1): ("response", None), ("é /%41", 1): ("revisit", "\n")}
+    assert got == want | {(None, 5): ("response", None), ("x: y", 0): ("revisit", "<z>"), ("<z>", 0): ("response", None)}
+    none = warc.parse_record(warc.record(None, None, "D", b"x", 1, None))
+    assert none["page_id"] is None and none["url"] is None and none["payload"] == b"x"
+
+
+def test_warc_spreads_a_hot_payload(spark):
+    """100,000 copies of one page: no task writes more than its share of the records."""
+    pages = spark.range(0, 100_000, 1, 4).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("<p>same</p>").alias("html"))
+    folder = common.new_folder(spark, "warc-hot")
+    index = warc.write_archives(pages, folder)
+    sizes = [r["count"] for r in index.groupBy("archive").count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 0.3 * 100_000 and index.filter("record_type = 'response'").count() == 1
+    warc.free(folder)
+
+
 def test_warc_selected_records_by_range(spark, sf):
     pages, folder = common.table(spark, sf, "pages"), common.new_folder(spark, "warc-test")
     index = warc.write_archives(pages, folder)
@@ -336,6 +356,13 @@ def test_line_dedup_against_brute_force(spark, lg_k, monkeypatch):
     assert linededup.remove_boilerplate(frame(spark, odd_rows())).count() == 8
 
 
+def test_line_dedup_of_long_texts(spark):
+    """Texts of 30,000 lines, all of them boilerplate, beside lines of a third of all places."""
+    long = "\n".join(f"line {i} of a long text" if i % 3 else "the same line" for i in range(30_000))
+    rows = [(i, long, f"s{i}") for i in range(5)] + [(9, "own\n\n", "s9")]
+    assert rows_of(linededup.remove_boilerplate(frame(spark, rows)).select("doc_id", "text", "n_lines", "n_removed")) == brute_lines(rows, 5)
+
+
 # 9: secrets
 
 
@@ -364,6 +391,15 @@ def test_secrets_against_brute_force(spark, sf):
     assert secrets.find_secrets(frame(spark, odd_rows())).count() == 8 and secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    """Chunks of matches, whole and part ones, and matches that are dropped: every place as in brute force."""
+    rng = random.Random(9)
+    pieces = ["deadbeef" * 3, "é word ", "token=abc ", "token=abcdef ", "AKIA" + "Z" * 16 + " ", "\U0001f600 "]
+    texts = [" ".join(rng.choice(pieces) for _ in range(n)) for n in (255, 256, 257, 1500)] + [("0123456789abcdef" * 2 + " ") * 20_000]
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in secrets.find_secrets(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), rules=secrets.BASE).collect()}
+    assert got == {i: brute_secrets(t) for i, t in enumerate(texts)}
+
+
 def test_secret_ledger_is_incremental(spark):
     ledger = common.new_folder(spark, "ledger-test")
     rows = [(1, "token = abcdefgh", "s"), (2, "token = abcdefgh", "s"), (3, "nothing", "s")]
