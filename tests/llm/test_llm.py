@@ -4,12 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from html_cases import CASES, HOSTILE
 from pyspark.sql import functions as F
 
 from tessera.llm import common, decontam, graph, html_extract, linededup, mixing, quality_model, queries, rules, secrets, simhash, toxicity, warc
@@ -198,6 +200,19 @@ def test_html_article():
     assert html_extract.main_text("<p>a") == "a" and html_extract.main_text("plain") == "plain"
 
 
+@pytest.mark.parametrize("name", CASES)
+def test_html_of_many_kinds(name):
+    page, want = CASES[name]
+    assert html_extract.main_text(page) == want
+
+
+def test_html_takes_time_in_proportion():
+    for name, page in HOSTILE.items():
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 5, name
+
+
 def test_html_whole_pages(spark, sf):
     """On the given pages the article element is the article."""
     from html import unescape
