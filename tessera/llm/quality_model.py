@@ -94,10 +94,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, setting
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int, seed: int = 5) -> DataFrame:
-    """Up to ``max_rows`` labelled rows (doc_id, text, label) with ``allowed`` ids, in an order of hashed ids."""
+    """Up to ``max_rows`` labelled rows (doc_id, text, label) with ``allowed`` ids, in an order of hashed ids: of rows that
+    repeat an id, the one whose text has the least hash; of labels that differ, the lesser."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).select(F.col("doc_id").alias("of_id"), F.col(label).cast("int").alias("label"))
     chosen = chosen.groupBy("of_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("of_id", F.lit(seed)), "of_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of_id")).select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "r.text", "r.label")
 
 
 def fit(sample: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, float]:

@@ -13,29 +13,52 @@ subsequence, and scoring needs no kernel evaluation.
 
 from __future__ import annotations
 
+import re
+import string
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts
-from .subwords import Batch, joined
 
 DECAY = 0.5
 #: Offsets of a subsequence's second and third character; skipped characters: the last offset less 2.
 PATTERNS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
-#: Six bits per byte: boundary 0, letters 1 to 26, digits 27 to 36, all else 37 to 63.
-CLASSES = np.array([0 if b == 32 else b - 96 if 97 <= b <= 122 else b - 21 if 48 <= b <= 57 else 37 + b % 27 for b in range(256)], np.int64)
-CODES = 1 << 18
+#: Subsequences of three code points are told apart by hashes of this many bits.
+BITS = 20
+CODES = 1 << BITS
 #: Value of a document without (another) word.
 NONE = -3.0
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+#: What is taken out of words, inside them as well: marks that hide a word leave at most a gap in it.
+_MARKS = str.maketrans("", "", string.punctuation + "«»„“”‚‘’…–—·¡¿§°")
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Three or more single letters with white space between them: a word that is spaced out.
+SPACED = re.compile(r"(?<![\w'’])[^\W\d_](?:\s+[^\W\d_](?!\w)){2,}")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words as training and scoring both see them: lower case, at white space, and spaced-out words put together as well.
+    :func:`plain` is applied to them, once per distinct word."""
+    low = (text or "").lower()
+    words = low.split()
+    if len(words) > 2:
+        words += ["".join(m[0].split()) for m in SPACED.finditer(low)]
+    return words
+
+
+def plain(word: str) -> str:
+    return word.translate(_MARKS)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows bounds the labelled documents, max_sentences the sentences of each label that are fetched."""
+    """max_rows bounds the labelled documents, max_sentences the sentences of each label, and the hard negatives, that are
+    fetched; all are taken in an order of hashes."""
 
     max_rows: int = 6000
     max_sentences: int = 5000
@@ -48,10 +71,15 @@ class Settings:
     seed: int = 11
 
 
-def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, code and value of the words' subsequences; a word's values have length 1 as a vector of parts."""
-    raw, space, owner = joined(words)
-    code = CLASSES[raw]
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, code and value of the words' subsequences; a word's values have length 1 as a vector of parts.
+
+    A word begins and ends with a blank, which counts as a character."""
+    raw = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = raw == 32
+    owner = np.cumsum(space) - 1
+    wide = raw.astype(np.uint64)
+    first, second, third = (wide * m for m in _MIX)
     found = []
     for a, b in PATTERNS:
         size = len(raw) - b
@@ -61,7 +89,8 @@ def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         for k in range(1, b):
             good &= ~space[k : k + size]
         at = np.flatnonzero(good)
-        found.append((owner[at], code[at] << 12 | code[at + a] << 6 | code[at + b], np.full(len(at), DECAY ** (b - 2))))
+        mixed = (first[at] + second[at + a] + third[at + b]) * _MIX[0]
+        found.append((owner[at], (mixed >> np.uint64(64 - BITS)).astype(np.int64), np.full(len(at), DECAY ** (b - 2))))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     word, codes, value = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -71,7 +100,7 @@ def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return word, codes, value / norm[word]
 
 
-def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel values, a row per word and a column per landmark."""
     word, codes, value = subsequences(landmarks)
     used, place = np.unique(codes, return_inverse=True)
@@ -92,13 +121,13 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(sentences: list[list[bytes]], labels: np.ndarray, landmarks: list[bytes], settings: Settings) -> tuple[np.ndarray, float]:
+def train(sentences: list[list[str]], labels: np.ndarray, landmarks: list[str], settings: Settings) -> tuple[np.ndarray, float]:
     """Weight of each subsequence and bias of the machine; ``sentences`` are lists of words, none of them empty.
 
     A negative sentence counts by its worst word. Of a positive one only the words that may be the reason are
     given, which keeps the problem convex but for the choice among them.
     """
-    index: dict[bytes, int] = {}
+    index: dict[str, int] = {}
     which = np.array([index.setdefault(w, len(index)) for s in sentences for w in s], np.int64)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sentences])))[:-1]
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
@@ -128,21 +157,30 @@ def train(sentences: list[list[bytes]], labels: np.ndarray, landmarks: list[byte
     return table, mean_bias / kept
 
 
-def worst_words(texts: list[str | None], machine: tuple[np.ndarray, float]) -> tuple[np.ndarray, list[bytes]]:
+def worst_words(texts: list[str | None], machine: tuple[np.ndarray, float]) -> tuple[np.ndarray, list[str]]:
     """Values of the three worst distinct words of each text (n x 3, descending), and the worst word."""
-    batch = Batch(texts, lower=True)
-    out, names = np.full((len(texts), 3), NONE), [b""] * len(texts)
-    full = np.flatnonzero(batch.counts > 0)
+    out, names = np.full((len(texts), 3), NONE), [""] * len(texts)
+    words: list[str] = []
+    counts = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        own = words_of(text)
+        counts[k] = len(own)
+        words += own
+    full = np.flatnonzero(counts > 0)
     if not len(full):
         return out, names
+    which, distinct = pd.factorize(np.array(words, dtype=object))
+    distinct = [plain(w) for w in distinct]
+    starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
     table, bias = machine
-    word, codes, value = subsequences(batch.distinct)
-    of_word = np.bincount(word, table[codes] * value, len(batch.distinct)) + bias
+    word, codes, value = subsequences(distinct)
+    of_word = np.bincount(word, table[codes] * value, len(distinct)) + bias
+    of_word[[not w for w in distinct]] = NONE
     # Equal values count as one word: the next one is strictly lower, or the same subsequences in other words.
-    left = of_word[batch.which].astype(np.float64)
-    owner = np.repeat(np.arange(len(texts)), batch.counts)
+    left = of_word[which].astype(np.float64)
+    owner = np.repeat(np.arange(len(texts)), counts)
     for k in range(3):
-        best = np.maximum.reduceat(left, batch.starts[full])
+        best = np.maximum.reduceat(left, starts[full])
         out[full, k] = np.maximum(best, NONE)
         of_text = np.full(len(texts), np.inf)
         of_text[full] = best
@@ -151,7 +189,7 @@ def worst_words(texts: list[str | None], machine: tuple[np.ndarray, float]) -> t
             at = np.flatnonzero(top)
             texts_at, first = np.unique(owner[at], return_index=True)
             for t, i in zip(texts_at.tolist(), at[first].tolist(), strict=True):
-                names[t] = batch.distinct[batch.which[i]]
+                names[t] = distinct[which[i]]
         left[top] = -np.inf
     return out, names
 
@@ -167,30 +205,41 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return c
 
 
+def marks(word: str) -> list[str]:
+    """What of a word may mark a toxic document: itself, and its first letters."""
+    return [f"={word}", f"^{word[:4]}", f"^{word[:5]}"]
+
+
 def fit(sample: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, float, np.ndarray]:
-    """Model from a bounded ``sample`` (doc_id, text, label): weights, bias, coefficients of the documents' score."""
+    """Model from a bounded ``sample`` (doc_id, text, label): weights, bias, coefficients of the documents' score.
+
+    A toxic document has many sentences that are not. Its sentences are positive by those of their words that
+    documents of label 1 show far more often than others do (``evidence``; 0: by all their words).
+    """
     sample = cut(sample.dropDuplicates(["text", "label"]))  # else a copied document makes its words look like reasons
-    trimmed = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         prior = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
         return np.zeros(CODES), 0.0, np.array([0, 0, 0, np.log(prior / (1 - prior))])
-    # Words and their first letters, by the documents of each label that have them: what marks toxic documents.
-    split = F.filter(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), trimmed), lambda w: w != "")
-    marks = lambda w: F.array(F.concat(F.lit("="), w), *[F.concat(F.lit("^"), F.substring(w, 1, k)) for k in (4, 5)])
-    seen = sample.select("label", F.explode(F.array_distinct(F.flatten(F.transform(split, marks)))).alias("mark"))
-    seen = seen.groupBy("mark").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+
+    def sentences(texts: list[str | None]) -> dict[str, list]:
+        found = [[[w for x in words_of(s) if (w := plain(x))] for s in SENTENCE.split(t or "")] for t in texts]
+        return {"sentences": found, "marks": [sorted({m for s in f for w in set(s) for m in marks(w)}) for f in found]}
+
+    told = cut(map_texts(sample, {"sentences": "array<array<string>>", "marks": "array<string>"}, sentences, keep=["label"]))
+    seen = told.select("label", F.explode("marks").alias("mark")).groupBy("mark").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     odds = F.log(((F.col("bad") + 0.5) / n[1]) / ((F.col("good") + 0.5) / n[0]))
     telling = (F.col("bad") >= max(2, 0.008 * n[1])) & (F.col("odds") > 2) & (F.col("bad") * F.col("odds") >= settings.evidence)
-    seeds = cut(seen.withColumn("odds", odds).filter(telling).orderBy(F.desc(F.col("bad") * F.col("odds")), "mark").limit(settings.max_seeds).select("mark"))
-
-    lines = sample.select("doc_id", "label", F.explode(F.split("text", r"(?<=[.!?])\s+|\n+")).alias("s"))
-    lines = lines.select("doc_id", "label", "s", F.filter(F.transform(F.split("s", r"[\x20\x09-\x0D]+"), trimmed), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
-    bad = lines.filter("label = 1").select("doc_id", "s", F.explode("words").alias("w")).select("doc_id", "s", "w", F.explode(marks(F.col("w"))).alias("mark"))
-    bad = bad.join(F.broadcast(seeds), "mark").groupBy("doc_id", "s").agg(F.sort_array(F.collect_set("w")).alias("words"))
-    few = lambda df: df.select("words").orderBy(F.xxhash64("words", F.lit(settings.seed))).limit(settings.max_sentences)
-    positive = [[w.encode() for w in r["words"]] for r in few(bad).collect()]
-    negative = [[w.encode() for w in r["words"]] for r in few(lines.filter("label = 0")).collect()]
+    seeds = {r["mark"] for r in seen.withColumn("odds", odds).filter(telling).orderBy(F.desc(F.col("bad") * F.col("odds")), "mark").limit(settings.max_seeds).select("mark").collect()}
+
+    lines = told.select("label", F.explode("sentences").alias("words")).filter(F.size("words") > 0)
+    few = lambda df: [r["words"] for r in df.select("words").orderBy(F.xxhash64("words", F.lit(settings.seed))).limit(settings.max_sentences).collect()]
+    bad = lines.filter("label = 1")
+    if settings.evidence > 0:
+        named = F.array(*[F.lit(s) for s in sorted(seeds)]) if seeds else F.expr("CAST(array() AS array<string>)")
+        of_word = lambda w: F.array(F.concat(F.lit("="), w), *[F.concat(F.lit("^"), F.substring(w, 1, k)) for k in (4, 5)])
+        bad = bad.withColumn("words", F.array_sort(F.array_distinct(F.filter("words", lambda w: F.arrays_overlap(of_word(w), named))))).filter(F.size("words") > 0)
+    positive, negative = few(bad), few(lines.filter("label = 0"))
     if not positive or not negative:
         return np.zeros(CODES), 0.0, np.array([0, 0, 0, np.log(n[1] / n[0])])
     rng = np.random.default_rng(settings.seed)
@@ -207,9 +256,10 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray,
             top, names = worst_words(texts, shared.value)
             return {"top": list(top), "worst": names}
 
-        return map_texts(sample, {"top": "array<double>", "worst": "binary"}, run, keep=["doc_id", "label"]).filter(wanted)
+        return map_texts(sample, {"top": "array<double>", "worst": "string"}, run, keep=["doc_id", "label"]).filter(wanted)
 
-    hard = [[bytes(r["worst"])] for r in judged(machine, "label = 0").filter(F.octet_length("worst") > 0).select("worst").distinct().orderBy("worst").limit(settings.max_sentences).collect()]
+    hard = judged(machine, "label = 0").filter("worst != ''").select("worst").distinct().orderBy(F.xxhash64("worst", F.lit(settings.seed)), "worst")
+    hard = [[r["worst"]] for r in hard.limit(settings.max_sentences).collect()]
     landmarks = list(dict.fromkeys(reasons + pick([h[0] for h in hard], free // 2) + pick(common, free - free // 2)))
     machine = train(positive + negative + hard, np.repeat([1, 0], [len(positive), len(negative) + len(hard)]), landmarks, settings)
     rows = judged(machine, "true").select("doc_id", "label", "top").toArrow().sort_by("doc_id")

@@ -14,7 +14,7 @@ import xxhash
 from html_cases import CASES, HOSTILE
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontam, graph, html_extract, linededup, mixing, quality_model, queries, rules, secrets, simhash, toxicity, warc
+from tessera.llm import common, decontam, graph, html_extract, linededup, mixing, quality_model, queries, rules, secrets, simhash, subwords, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,12 +164,95 @@ def test_quality_held_out(spark):
     held_out_accuracy(spark, queries.op5_quality_classifier, "quality", 0.95)
 
 
-def test_kernel_and_gaps():
-    k = toxicity.kernel([b"moron", b"mooron", b"table"], [b"moron"])[:, 0]
+def brute_kernel(a, b):
+    """Over all subsequences of three characters, blanks at both ends included, that skip two at most."""
+
+    def parts(word):
+        out, w = Counter(), f" {word} "
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(i + 5, len(w))):
+                    out[w[i] + w[j] + w[k], k - i] += 0.5 ** (k - i - 2)
+        return out
+
+    def dot(x, y):
+        folded = [Counter(), Counter()]
+        for f, p in zip(folded, (x, y), strict=True):
+            for (s, _), v in p.items():
+                f[s] += v
+        return sum(v * folded[1][s] for s, v in folded[0].items())
+
+    # A word's parts, by subsequence and place, have length 1.
+    length = lambda w: np.sqrt(sum(0.25 ** (k - i - 2) for i in range(len(w) + 2) for j in range(i + 1, len(w) + 2) for k in range(j + 1, min(i + 5, len(w) + 2))))
+    return dot(parts(a), parts(b)) / length(a) / length(b)
+
+
+def test_kernel_and_scores_against_brute_force():
+    words = ["moron", "mooron", "m0ron", "table", "é日本語x", "日本語", "a", "ab", "aaa", "réeuxpa"]
+    landmarks = ["moron", "日本語", "table", "réeuxment", "a"]
+    want = np.array([[brute_kernel(a, b) for b in landmarks] for a in words])
+    assert np.allclose(toxicity.kernel(words, landmarks), want, atol=1e-5)
+    k = toxicity.kernel(["moron", "mooron", "table"], ["moron"])[:, 0]
     assert k[1] > 0.7 * k[0] and k[2] < 0.2 * k[0]
-    table, bias = toxicity.train([[b"moron"], [b"fine", b"words"], [b"moon"]], np.array([1, 0, 0]), [b"moron", b"words", b"moon"], toxicity.Settings(steps=200))
-    values, worst = toxicity.worst_words(["such fine words, mo-ron", "fine", None, ""], (table, bias))
-    assert worst[0] == b"mo-ron" and values[0, 0] > values[1, 0] and (values[2] == toxicity.NONE).all()
+    table, bias = toxicity.train([["moron"], ["fine", "words"], ["moon"]], np.array([1, 0, 0]), ["moron", "words", "moon"], toxicity.Settings(steps=200))
+    texts = ["such fine words, mo-ron", "fine", "M o r o n, he said", None, "", "!! ?"]
+    values, worst = toxicity.worst_words(texts, (table, bias))
+    assert worst[0] == worst[2] == "moron" and values[0, 0] == values[2, 0] > values[1, 0] and (values[3:] == toxicity.NONE).all()
+    for text, got in zip(texts[:3], values, strict=False):
+        each = set()
+        for w in map(toxicity.plain, toxicity.words_of(text)):
+            word, codes, value = toxicity.subsequences([w])
+            each.add(round(float((table[codes] * value).sum() + bias), 9))
+        assert np.allclose(got[: len(each)], sorted(each, reverse=True)[:3], atol=1e-6)
+
+
+def test_toxicity_of_hidden_insults(spark):
+    """Spaced, dotted, split, doubled and shouted insults, learnt from plain ones only."""
+    bad, rng = ["trash", "idiot", "pathetic", "clown", "scum", "moron"], random.Random(5)
+    good = ["there", "is", "a", "table", "with", "some", "bread", "moon", "over", "patience", "cloud", "idea"]
+    sentence = lambda *more: " ".join([*(rng.choice(good) for _ in range(8)), *more, rng.choice(good)]) + "."
+    text = lambda k: " ".join(sentence(*([rng.choice(bad)] if j < k else [])) for j in range(5))
+    rows = [(i, text(4 if i % 3 == 0 else 0), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    hide = [str, str.upper, " ".join, ".".join, lambda w: w[:2] + "-" + w[2:], lambda w: w[0] + w[1] * 2 + w[2:]]
+    tried = [(k, " ".join(sentence(h(rng.choice(bad))) for _ in range(4))) for k, h in enumerate(hide)] + [(100 + k, text(0)) for k in range(6)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(tried, "doc_id long, text string"), model).collect()}
+    assert all(got[k] == (k < 100) for k in got)
+
+
+def test_quality_scores_against_brute_force():
+    """The mean over words, their n-grams and pairs of neighbours, one feature at a time."""
+    mask, mix = 2**64 - 1, [int(m) for m in subwords.MIX]
+    rng = np.random.default_rng(1)
+    odds = rng.normal(size=1 << quality_model.BITS)
+    bucket = lambda code: (code * mix[0] & mask) >> (64 - quality_model.BITS)
+
+    def gram(raw):
+        code = len(raw)
+        for k, b in enumerate(raw):
+            code = ((code ^ b) * mix[k % 4]) & mask
+            code ^= code >> 29
+        return bucket(code)
+
+    def score(text):
+        words = [w.encode() for w in WORD.findall(text or "")]
+        found = []
+        for w in words:
+            raw = b" " + w + b" "
+            found += [bucket(xxhash.xxh64_intdigest(w))] + [gram(raw[i : i + n]) for n in quality_model.GRAMS for i in range(len(raw) - n + 1)]
+        for a, b in zip(words, words[1:], strict=False):
+            found.append(0 if a == b else bucket((xxhash.xxh64_intdigest(a) * mix[1] + xxhash.xxh64_intdigest(b) * mix[2]) & mask))
+        return 1 / (1 + np.exp(-(np.mean(odds[found]) if found else 0) - 0.25))
+
+    texts = ["some words, some words words", None, "", "x", "é ü\n日本語 a", "a b c d e f a b c"]
+    assert np.allclose(quality_model.score_texts(texts, odds, 0.25), [score(t) for t in texts])
+
+
+def test_labelled_rows_are_bounded(spark):
+    docs = frame(spark, [(i % 10, f"text {i}", "s") for i in range(200)])
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    got = quality_model.labelled(docs.union(docs), labels.union(labels), "toxic", F.lit(True), 7).collect()
+    assert len(got) == len({r.doc_id for r in got}) <= 7
 
 
 @pytest.mark.parametrize("module", [toxicity, quality_model])
