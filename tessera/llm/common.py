@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder; a plain path or a URI that Arrow knows (file, hdfs, s3, gs)."""
+    if "://" not in folder and not folder.startswith("file:"):
+        return fs.LocalFileSystem(), folder
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
@@ -108,11 +118,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def _parts(values: pa.Array, at_once: int) -> Iterator[tuple[int, int]]:
-    """Start and length of runs of ``values``, each of ``at_once`` rows and ``AT_ONCE_BYTES`` at most, or of one row."""
+def parts(values: pa.Array, at_once: int, at_once_bytes: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of ``values``, each of ``at_once`` rows and ``at_once_bytes`` at most, or of one row."""
     start = held = 0
     for i, size in enumerate(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
-        if i > start and (i - start == at_once or held + size > AT_ONCE_BYTES):
+        if i > start and (i - start == at_once or held + size > at_once_bytes):
             yield start, i - start
             start, held = i, 0
         held += size
@@ -127,12 +137,13 @@ def map_texts(
     column: str = "text",
     keep: list[str] | None = None,
     at_once: int = 512,
+    at_once_bytes: int = AT_ONCE_BYTES,
 ) -> DataFrame:
     """``df`` with the columns ``added`` (name: type), which ``fn`` makes from a list of values of ``column``.
 
     Other columns pass through as Arrow, untouched; ``keep`` names those to keep (default: all). Columns of
     ``df`` whose names clash with ``added`` are replaced. ``fn`` sees at most ``at_once`` values at a time, and
-    at most ``AT_ONCE_BYTES`` of them or one.
+    at most ``at_once_bytes`` of them or one.
     """
     names = [c for c in (df.columns if keep is None else keep) if c not in added]
     new = T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items()])
@@ -142,7 +153,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, rows in _parts(batch.column(len(names)), at_once):
+            for start, rows in parts(batch.column(len(names)), at_once, at_once_bytes):
                 part = batch.slice(start, rows)
                 made = fn(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays(

@@ -1,29 +1,33 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The items, as word ids, form one automaton per block of items; documents are streamed through it word by word,
-and the longest match that ends at each word tells which words lie in windows of the items. Only runs of words
-that the items have at all are streamed. An automaton of n words has 2n states at most, so a block of
-``BLOCK_WORDS`` words bounds what is broadcast and held at once; more items make more blocks, each a job of its own
-whose spans and items, but not texts, are kept in the shared folder and brought together by row.
+The items, as word ids, form one automaton per block of items, which a task builds and writes into the shared folder;
+documents are streamed through each of them word by word, and the longest match that ends at each word tells which
+words lie in windows of the items. Only runs of words that the items have at all are streamed. An automaton of n words
+has 2n states at most, so ``BLOCK_WORDS`` bounds what a worker holds at once. More items make more blocks: each part of
+the documents is then matched against one after the other, so that documents are still read once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
-from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, map_arrow, map_texts, row_keys, shielded
+from .common import cut, file_system, map_arrow, map_texts, new_folder, parts
 
 BLOCK_WORDS = 100_000
+#: Automata that a worker keeps for its next texts.
+HELD = 2
+#: Bytes of texts that are matched against one automaton before the next is taken.
+PART_BYTES = 16 << 20
 KINDS = {"n_words": "long", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
 #: As the pattern of the words: digits, letters and whatever is not ASCII.
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -138,132 +142,156 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items (id as string, words) in blocks of ``most`` words, fetched partition by partition."""
-    block: list[tuple[str, list[bytes]]] = []
-    total = 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").toLocalIterator():
-        words = words_of(row["text"])
-        if words:
-            block.append((row["i"], words))
-            total += len(words)
-        if total >= most:
-            yield block
-            block, total = [], 0
-    if block:
-        yield block
+def pieces_of(words: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """``words`` in pieces of ``most`` at most that overlap so that each window lies in one of them."""
+    if len(words) <= most:
+        yield words
+        return
+    step = most - window + 1
+    for start in range(0, len(words) - window + 1, step):
+        yield words[start : start + most]
+
+
+def build(benchmark: DataFrame, folder: str, window: int = 10, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Write an automaton per block of items into ``folder``; the files' names.
+
+    Long items go in overlapping pieces, and pieces are dealt to blocks of about ``block_words`` words by their hash.
+    Each block's automaton is built and written by a task; only names, one per block, reach the driver.
+    """
+    most = max(window, block_words // 4)
+
+    def split(texts: list[str | None]) -> dict[str, list]:
+        found = [[b" ".join(p) for p in pieces_of(w, window, most)] if (w := words_of(t)) else [] for t in texts]
+        return {"pieces": found}
+
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    items = map_texts(named, {"pieces": "array<binary>"}, split, keep=["item"])
+    items = cut(items.select("item", F.explode("pieces").alias("words")).distinct())
+    n_words = F.regexp_count(F.col("words").cast("string"), F.lit(" ")) + 1
+    total = items.agg(F.sum(n_words)).first()[0] or 0
+    if not total:
+        return []
+    blocks = -(-total // block_words)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        automaton = Automaton([(i, w.split()) for i, w in zip(rows["item"].to_pylist(), rows["words"].to_pylist(), strict=True)], window)
+        store, path = file_system(folder)
+        store.create_dir(path, recursive=True)
+        name = f"{uuid.uuid4().hex}.automaton"
+        with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(zlib.compress(pickle.dumps(automaton, pickle.HIGHEST_PROTOCOL), 1))
+        return pa.table({"name": [name]})
+
+    return sorted(r["name"] for r in dealt.groupBy("block").applyInArrow(write, "name string").collect())
+
+
+#: Automata that a worker holds, by file, the last used last.
+_held: dict[str, Automaton] = {}
+
+
+def _automata(folder: str, names: list[str]) -> Iterator[Automaton]:
+    """The automata of all blocks, one after the other, those that this worker holds first; it holds ``HELD`` at most."""
+    for name in sorted(names, key=lambda n: f"{folder}/{n}" not in _held):
+        file = f"{folder}/{name}"
+        if file not in _held:
+            while len(_held) >= HELD:
+                _held.pop(next(iter(_held)))
+            store, path = file_system(file)
+            with store.open_input_file(path) as data:
+                _held[file] = pickle.loads(zlib.decompress(data.read()))
+        yield _held[file]
+
+
+def find(texts: list[str | None], folder: str, names: list[str]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """Number of words, spans of words (merged) and items of each text, over all blocks."""
+    words = [words_of(t) for t in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[str]] = [set() for _ in texts]
+    for automaton in _automata(folder, names):
+        for k, own in enumerate(words):
+            found, numbers = automaton.match(own)
+            if found:
+                spans[k] += merged(found)
+                items[k] |= {automaton.ids[n] for n in numbers}
+    return [len(w) for w in words], [merged(s) for s in spans], items
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, spans (of words, merged) and items (ids) that occur in each row's text.
 
-    An item of fewer than ``window`` words occurs as a whole; null and empty texts have no words and items
-    without words never occur. Repeated rows and items count alike; with no items nothing is hit; an empty
-    table gives no rows. Columns of ``docs`` with the names of the new ones are replaced.
+    Texts are read once, whatever the number of blocks. An item of fewer than ``window`` words occurs as a whole;
+    null and empty texts have no words and items without words never occur. Repeated rows and items count alike;
+    with no items nothing is hit; an empty table gives no rows. Columns of ``docs`` with the names of the new ones
+    are replaced.
     """
     docs = docs.select([f"`{c}`" for c in docs.columns if c not in KINDS])
-    groups = blocks(benchmark, block_words)
-    first, second = next(groups, []), next(groups, None)
-    if second is None:
-        return _matched(docs, first, window)
-    keyed, parts = docs.select("text", *row_keys("__")), []
-    for block in chain((first, second), groups):
-        parts.append(cut(_matched(keyed, block, window).drop("text")))
-    every = reduce(DataFrame.unionAll, parts).groupBy("__k1", "__k2")
-    every = every.agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    every = every.withColumnsRenamed({"__k1": "__of1", "__k2": "__of2"})
-    joined = docs.select("*", *row_keys("__")).join(every, (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")))
-    return joined.drop("__k1", "__k2", "__of1", "__of2")
-
-
-def _matched(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+    folder = new_folder(docs.sparkSession, "automata")
+    names = build(benchmark, folder, window, block_words)
 
     def run(texts: list[str | None]) -> dict[str, list]:
-        automaton, out = shared.value, {k: [] for k in KINDS}
-        for text in texts:
-            words = words_of(text)
-            spans, items = automaton.match(words)
-            out["n_words"].append(len(words))
-            out["spans"].append([{"start": a, "end": b} for a, b in merged(spans)])
-            out["items"].append(sorted({automaton.ids[k] for k in items}))
-        return out
+        counts, spans, items = find(texts, folder, names)
+        return {"n_words": counts, "spans": [[{"start": a, "end": b} for a, b in s] for s in spans], "items": [sorted(i) for i in items]}
 
-    return map_texts(docs, KINDS, run)
+    return map_texts(docs, KINDS, run, at_once=4096, at_once_bytes=PART_BYTES)
 
 
-def n_hit(spans: list[dict]) -> int:
-    return sum(b - a for a, b in merged([(s["start"], s["end"]) for s in spans]))
+def n_hit(spans: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in spans)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per row of ``docs``."""
     found = matches(docs.select("doc_id", "text"), benchmark, window, block_words).drop("text")
-    # Spans of several blocks may overlap: sorted by start, each adds what lies beyond the furthest end so far.
-    state = F.struct(F.lit(0).alias("reach"), F.lit(0).alias("n"))
-    step = lambda s, x: F.struct(F.greatest(s["reach"], x["end"]).alias("reach"), (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["reach"], x["start"]))).alias("n"))
-    hit = F.aggregate(F.array_sort("spans"), state, step, lambda s: s["n"]).cast("long")
+    hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["end"] - x["start"]).cast("long")
     items = F.array_sort("items")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def cut_spans(text: str, spans: list[dict]) -> str:
-    """``text`` without the words of the spans and what lies between them; a line break takes each span's place."""
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of the spans (merged) and what lies between them; a line break takes each span's place."""
     places = [m.span() for m in TOKEN.finditer(text.translate(_LOWER))]
     out, at = [], 0
-    for a, b in merged([(s["start"], s["end"]) for s in spans]):
+    for a, b in spans:
         out.append(text[at : places[a][0]])
         at = places[b - 1][1]
     return "\n".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, block_words: int = BLOCK_WORDS, rounds: int = 3) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the spans of ``window`` words or more (or whole shorter items) shared with the items.
 
     Rows with more than ``coverage`` of their words in such spans go as a whole. Cutting may bring words
-    together that match anew, so rows that were cut are matched again, up to ``rounds`` times; a row that
-    still matches then goes. Null and empty texts stay; columns are those of ``docs``.
+    together that match anew, so what was cut is matched again until nothing is left to cut: each cut shortens
+    the text. Null and empty texts stay; columns are those of ``docs``; an empty table gives no rows.
     """
-    docs, restored = shielded(docs, KINDS)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__again", T.BooleanType())])
-    place = docs.columns.index("text")
-    groups = blocks(benchmark, block_words)
-    first, second = next(groups, []), next(groups, None)
-    # One block can be matched again where the text is cut; more are not held at once.
-    only = docs.sparkSession.sparkContext.broadcast(Automaton(first, window)) if second is None else None
-
-    def recut(text: str | None, spans: list[dict]) -> tuple[str | None, bool]:
-        """The text without the spans, and whether it must be, or after all rounds still is, matched."""
-        for _ in range(rounds + 1 if only else 1):
-            if not spans:
-                return text, False
-            text = cut_spans(text, spans)
-            spans = [{"start": a, "end": b} for a, b in only.value.match(words_of(text))[0]] if only else spans
-        return text, bool(spans)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema, place = docs.schema, docs.columns.index("text")
+    folder = new_folder(docs.sparkSession, "automata")
+    names = build(benchmark, folder, window, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans, counts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "spans", "n_words"))
-            keep = [n_hit(s) <= coverage * n for s, n in zip(spans, counts, strict=True)]
-            done = [recut(t, s) if k else (t, False) for t, s, k in zip(texts, spans, keep, strict=True)]
-            columns = [batch.column(i) for i in range(len(schema.fields) - 1)] + [pa.array([again for _, again in done], pa.bool_())]
-            columns[place] = pa.array([t for t, _ in done], columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
-
-    names = [f"`{c}`" for c in docs.columns]
-    done = None
-    for _ in range(rounds + 1):
-        cleaned = map_arrow(matches(docs, benchmark, window, block_words).select(*names, "n_words", "spans"), clean, schema)
-        if only:
-            return restored(cleaned.filter("NOT __again"))
-        # Cut rows are few: they alone are kept in the shared folder and matched again.
-        again = cut(cleaned.filter("__again").drop("__again"))
-        whole = cleaned.filter("NOT __again").drop("__again")
-        done = whole if done is None else done.unionAll(whole)
-        if again.isEmpty():
-            break
-        docs = again
-    return restored(done)
+            for start, rows in parts(batch.column(place), 4096, PART_BYTES):
+                part = batch.slice(start, rows)
+                texts = part.column(place).to_pylist()
+                counts, spans, _ = find(texts, folder, names)
+                keep = [n_hit(s) <= coverage * n for s, n in zip(spans, counts, strict=True)]
+                todo = [k for k, s in enumerate(spans) if s and keep[k]]
+                if not todo and all(keep):
+                    yield part
+                    continue
+                while todo:
+                    for k in todo:
+                        texts[k] = cut_spans(texts[k], spans[k])
+                    found = find([texts[k] for k in todo], folder, names)[1]
+                    for k, s in zip(todo, found, strict=True):
+                        spans[k] = s
+                    todo = [k for k in todo if spans[k]]
+                columns = [part.column(i) for i in range(part.num_columns)]
+                columns[place] = pa.array(texts, columns[place].type)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, run, schema)
 
 
 def items_digest(ids: list[str]) -> str:

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined_hot, map_arrow, new_folder
+from .common import cut, file_system, joined_hot, map_arrow, new_folder
 
 INDEX = "archive string, offset long, length long, page_id string, url string, digest string, record_type string"
 RECORDS = "page_id string, url string, record_type string, refers_to string, digest string, payload_bytes long, payload binary"
@@ -35,16 +35,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _local(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder; a plain path or a URI that Arrow knows (file, hdfs, s3, gs)."""
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
-    folder = folder.replace("s3a://", "s3://", 1)
-    if folder.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    return fs.FileSystem.from_uri(folder)
-
-
 def _safe(url: str) -> str:
     """A URL that can stand in a header line: white space and control characters, which no valid one has, are encoded."""
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in url)
@@ -119,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
     rows = bare(joined).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "size", "sha1", F.when(revisit, F.col("first_id").cast("string")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _local(folder)
+        store, path = file_system(folder)
         name = f"{uuid.uuid4().hex}.warc.gz"
         out, at = None, 0
         for batch in batches:
@@ -174,7 +164,7 @@ def read_records(selected: DataFrame, folder: str, gap: int = 65536, most: int =
     places = selected.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / most)).sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _local(folder)
+        store, path = file_system(folder)
         kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
         schema = pa.schema([(k.split()[0], kinds[k.split()[1]]) for k in RECORDS.split(", ")])
         for batch in batches:
@@ -223,6 +213,6 @@ def to_base32(sha1_hex: Column) -> Column:
 
 def free(folder: str) -> None:
     """Delete a folder of archives, index included."""
-    store, path = _local(folder)
+    store, path = file_system(folder)
     if store.get_file_info(path).type != fs.FileType.NotFound:
         store.delete_dir(os.fspath(path))

@@ -345,6 +345,32 @@ def test_decontamination_against_brute_force(spark, block):
     assert decontam.report(cleaned, bench, window=5).filter("contaminated").count() == 0
 
 
+def test_decontamination_of_many_blocks_and_long_items(spark, sf):
+    """An item longer than a block, in pieces; documents are read once for all blocks."""
+    rng = random.Random(8)
+    words = [rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(900)]
+    items = [(1, " ".join(words)), (2, " ".join(words[300:700])), (3, "short one")] + [(10 + i, " ".join(rng.choices(words, k=12))) for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=20) + words[s : s + n]), "s") for i, (s, n) in enumerate([(0, 9), (0, 10), (95, 30), (890, 10), (295, 12), (400, 300)])] + [(9, items[7][1].upper(), "s"), (10, "a short one", "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.report(frame(spark, docs), bench, block_words=200)
+    got = {r.doc_id: tuple(r)[1:5] for r in found.collect()}
+    assert got == {i: brute_contamination(t, items, 10) for i, t, _ in docs} and sum(g[1] > 0 for g in got.values()) >= 7
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan") <= 1 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decontamination_cuts_until_nothing_matches(spark):
+    """Passages nested in each other: each cut brings the next one together."""
+    item = "one two three four five six seven eight nine ten"
+    w = item.split()
+    nested = item
+    for k in (3, 5, 7, 2, 6, 4, 8):
+        nested = " ".join(w[:k]) + " " + nested + " " + " ".join(w[k:])
+    rows = [(1, "some other words here " * 30 + nested + " and an end", "s"), (2, "a a a a a b b b b b " + "x " * 20, "s")]
+    bench = spark.createDataFrame([(1, item), (2, "a b")], "item_id long, text string")
+    got = {r.doc_id: r.text.split() for r in decontam.decontaminate(frame(spark, rows), bench).collect()}
+    assert got == {1: ("some other words here " * 30 + "and an end").split(), 2: ["x"] * 20}
+
+
 def test_decontamination_keeps_the_rest(spark):
     item = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
