@@ -46,9 +46,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 if either vector is zero."""
-    return F.when(a.isNull() | b.isNull(), None).otherwise(F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0)))
+def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
+    """Cosine similarity; 0 if either vector is zero. ``norm_b`` saves computing the norm of ``b`` where it is known."""
+    return F.when(a.isNull() | b.isNull(), None).otherwise(F.coalesce(F.try_divide(dot(a, b), norm(a) * (norm(b) if norm_b is None else norm_b)), F.lit(0.0)))
 
 
 def normalize(a: Column) -> Column:

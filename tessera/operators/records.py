@@ -14,12 +14,11 @@ OPERATORS = ("=", "==", "!=", "<>", ">", "<", ">=", "<=", "contains")
 
 
 def parse_literal(text: str):
-    """Integer, else float, else true or false, else the text."""
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            pass
+    """Integer, else float, else true or false, else the text; ``nan``, ``inf`` and ``1_000`` are texts."""
+    if re.fullmatch(r"[+-]?\d+", text, re.ASCII):
+        return int(text)
+    if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text, re.ASCII):
+        return float(text)
     return {"true": True, "false": False}.get(text, text)
 
 
@@ -88,7 +87,10 @@ def transform_expression(df: DataFrame, source: str, transform: str | None) -> C
         if name in ("concat", "prefix"):
             return F.concat(c, F.lit(argument)) if name == "concat" else F.concat(F.lit(argument), c)
     if isinstance(kind, T.NumericType) and name in ("multiply", "divide"):
-        n = float(argument)
+        n = parse_literal(argument)
+        if isinstance(n, (str, bool)):
+            return c
+        n = float(n)
         if name == "multiply":
             return c.cast("double") * n
         return c.cast("double") / n if n else c

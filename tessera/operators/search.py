@@ -25,10 +25,24 @@ def search(df: DataFrame, query: Sequence[float], k: int, metric: str = "cosine"
     a, b = F.col(vector), V.literal(query)
     if normalize:
         a, b = V.normalize(a), V.normalize(b)
-    scored = found.withColumn("similarity", V.similarity(metric, a, b)).withColumn("distance", V.distance(metric, a, b))
+    # Each row's vector is gone through once per metric: similarity and distance follow from one another.
+    if metric in ("cosine", "dot"):
+        size = None if normalize else F.lit(math.sqrt(_squares(query)))
+        scored = found.withColumn("similarity", V.cosine(a, b, size) if metric == "cosine" else V.dot(a, b))
+        scored = scored.withColumn("distance", 1 - F.col("similarity") if metric == "cosine" else -F.col("similarity"))
+    else:
+        scored = found.withColumn("distance", V.distance(metric, a, b))
+        scored = scored.withColumn("similarity", 1 / (1 + F.col("distance"))).select(*[f"`{c}`" for c in found.columns], "similarity", "distance")
     return scored.orderBy(F.desc_nulls_last("similarity"), id_col).limit(k)
 
 
+def _squares(query: Sequence[float]) -> float:
+    total = 0.0
+    for x in query:
+        total += float(x) * float(x)
+    return total
+
+
 def _chunks(df: DataFrame, id_col: str, vector: str, most: int) -> DataFrame:
     """Rows of ``df`` packed ``most`` to a row: ids in order, whether each has a vector, their dimension, and the vectors as doubles."""
     schema = T.StructType([T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), *[T.StructField(n, T.BinaryType()) for n in ("has", "data")], T.StructField("size", T.LongType())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import METRICS
 from tessera.operators import search
-from tessera.operators.sync import commit_version, read_version, upsert
+from tessera.operators.sync import commit_version, delete_rows, read_version, upsert
 
 
 def metadata_pairs(df: DataFrame, id_col: str, metadata: str) -> DataFrame:
@@ -39,7 +40,8 @@ class VectorStore:
 
     SCHEMA = "id string, vector array<float>, metadata string"
     #: Kinds of index: those that are searched exactly, and those whose rows are partitioned by their nearest centre.
-    EXACT, CLUSTERED = ("flat", "hnsw", "pq", "sq"), ("ivf", "partitioned")
+    #: No graph and no code book is built for ``APPROXIMATE`` kinds: they are searched exactly, too, with a warning.
+    EXACT, CLUSTERED, APPROXIMATE = ("flat",), ("ivf", "partitioned"), ("hnsw", "pq", "sq")
 
     def __init__(self, spark: SparkSession, folder: str, dimension: int, metric: str = "cosine"):
         if metric not in METRICS:
@@ -57,14 +59,18 @@ class VectorStore:
         commit_version(upsert(self.rows(), new.withColumn("vector", fits), ["id"], order), self.folder)
         self.drop_index()
 
-    def delete(self, ids: Iterable[str]) -> None:
-        commit_version(self.rows().filter(~F.col("id").isin(list(ids))), self.folder)
+    def delete(self, ids: Iterable[str] | DataFrame) -> None:
+        """Remove the rows of ``ids``, a frame with a column id or a few ids."""
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
+        commit_version(delete_rows(self.rows(), gone, ["id"]), self.folder)
         self.drop_index()
 
     def create_index(self, kind: str = "flat", clusters: int = 100, **fit) -> None:
         """Index the rows as they are now; a later change of the collection drops the index."""
-        if kind not in self.EXACT + self.CLUSTERED:
-            raise ValueError(f"unknown index {kind!r}; known: {', '.join(self.EXACT + self.CLUSTERED)}")
+        if kind not in self.EXACT + self.CLUSTERED + self.APPROXIMATE:
+            raise ValueError(f"unknown index {kind!r}; known: {', '.join(self.EXACT + self.CLUSTERED + self.APPROXIMATE)}")
+        if kind in self.APPROXIMATE:
+            warnings.warn(f"no {kind} index is built: searches stay exact, over all rows", stacklevel=2)
         self.centers = search.build_index(self.rows(), f"{self.folder}_index", clusters, **fit) if kind in self.CLUSTERED else None
 
     def drop_index(self) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,20 +26,26 @@ def map_type(word: str) -> T.DataType:
 
 
 def _last(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row per key: the last by ``order`` (without it: any, the keys being unique). Rows with a null in a key
-    are equal to no other: all stay, and they are dealt out by a number of their own, as they may be many."""
+    """One row per key: the last by ``order``, ties and rows without an order by their hash, so that reruns agree. Rows with
+    a null in a key are equal to no other: all stay, and they are dealt out by a hash of their own, as they may be many."""
     whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
-    if any(changes.schema[k].nullable for k in keys):
-        changes, keys = changes.withColumn("__alone", F.when(~whole, F.monotonically_increasing_id())), [*keys, "__alone"]
-    if order is None:
-        return changes.dropDuplicates(keys).drop("__alone")
-    place = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return changes.withColumn("__nth", F.row_number().over(place)).filter("__nth = 1").drop("__nth", "__alone")
+    hashed = F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType)) else F.col(f"`{f.name}`") for f in changes.schema.fields])
+    alone = any(changes.schema[k].nullable for k in keys)
+    changes = changes.withColumn("__hash", hashed)
+    if alone:
+        changes = changes.withColumn("__alone", F.when(~whole, F.col("__hash")))
+    place = Window.partitionBy(*[f"`{k}`" for k in keys], *["__alone"] * alone).orderBy(*[F.desc(f"`{order}`")] * (order is not None), F.desc("__hash"))
+    kept = changes.withColumn("__nth", F.row_number().over(place)).filter(F.col("__nth") == 1 if not alone else (F.col("__nth") == 1) | F.col("__alone").isNotNull())
+    return kept.drop("__nth", "__hash", "__alone")
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``target`` with ``changes`` in place of rows of equal keys, last write first; null keys never match, so such rows are added."""
-    changes = _last(changes, keys, order).select([f"`{c}`" for c in target.columns])
+    return _put(target, _last(changes, keys, order), keys)
+
+
+def _put(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    changes = changes.select([f"`{c}`" for c in target.columns])
     return target.join(changes.select(*keys), keys, "left_anti").select([f"`{c}`" for c in target.columns]).unionByName(changes)
 
 
@@ -63,8 +70,9 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], op: st
 
 
 def changed_since(source: DataFrame, column: str, watermark) -> DataFrame:
-    """Rows modified after ``watermark`` (all of them, if it is None); never capped."""
-    return source if watermark is None else source.filter(F.col(column) > F.lit(watermark))
+    """Rows modified at ``watermark`` or later (all of them, if it is None); never capped. Rows of the watermark itself
+    come again, as some may have been written after the last sync: an upsert by key takes them twice without harm."""
+    return source if watermark is None else source.filter(F.col(column) >= F.lit(watermark))
 
 
 def project(df: DataFrame, include: Iterable[str] | None = None, exclude: Iterable[str] | None = None) -> DataFrame:
@@ -87,35 +95,115 @@ def snapshot(source: DataFrame, folder: str, epoch: int) -> str:
     return name
 
 
-def versions(spark: SparkSession, folder: str) -> list[str]:
-    """Version folders of a table kept by :func:`commit_version`, oldest first."""
+#: Parts of a table that is kept up to date by key; a sync rewrites those parts that its changes fall into.
+PARTS = 64
+
+
+class Conflict(RuntimeError):
+    """Another writer has written the version that was to come next."""
+
+
+def _store(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return []
-    names = [s.getPath().getName() for s in store.listStatus(path)]
-    return [f"{folder}/{n}" for n in sorted(n for n in names if n.startswith("v") and n[1:].isdigit() and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))]
-
-
-def commit_version(df: DataFrame, folder: str) -> str:
-    """Write ``df`` as the next version of the table at ``folder``. Readers take the last complete version, so a
-    failed write is never seen and a table may be rewritten from itself."""
-    last = versions(df.sparkSession, folder)
-    name = f"{folder}/v{int(last[-1].rpartition('v')[2]) + 1 if last else 1:09d}"
-    df.write.mode("overwrite").parquet(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    store, path = _store(spark, folder)
+    return sorted(s.getPath().getName() for s in store.listStatus(path)) if store.exists(path) else []
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Complete version folders of a table, oldest first: whole tables (v1), or some of its parts (v2-part)."""
+    store, _ = _store(spark, folder)
+    found = [n for n in _names(spark, folder) if n.startswith("v") and n[1:10].isdigit()]
+    return [f"{folder}/{n}" for n in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+
+
+def _number(version: str) -> int:
+    return int(version.rpartition("/v")[2][:9])
+
+
+def _next(spark: SparkSession, folder: str, after: list[str] | None, suffix: str = "") -> str:
+    found = versions(spark, folder) if after is None else after
+    name = f"v{_number(found[-1]) + 1 if found else 1:09d}"
+    if any(n.startswith(name) for n in _names(spark, folder)):
+        raise Conflict(f"{folder}/{name} exists")
+    return f"{folder}/{name}{suffix}"
+
+
+def commit_version(df: DataFrame, folder: str, after: list[str] | None = None) -> str:
+    """Write ``df`` as the next version of the table at ``folder``. Readers see complete versions only, so a failed write is
+    never seen and a table may be rewritten from itself. If ``after`` (the versions that ``df`` was made from) is no
+    longer all there is, or the next version is being written, nothing is overwritten: :class:`Conflict`."""
+    name = _next(df.sparkSession, folder, after)
+    df.write.mode("errorifexists").parquet(name)
     return name
 
 
-def read_version(spark: SparkSession, folder: str) -> DataFrame | None:
+def _current(spark: SparkSession, found: list[str]) -> tuple[str | None, dict[int, str]]:
+    """The last whole version, if it is in one piece, or else the newest folder of each part."""
+    whole = max((i for i, v in enumerate(found) if "-part" not in v), default=0)
+    newest = {int(n.rpartition("=")[2]): f"{v}/{n}" for v in found[whole:] for n in _names(spark, v) if n.startswith(f"__part_{PARTS}=")}
+    return (None, newest) if newest else (found[whole], {})
+
+
+def read_version(spark: SparkSession, folder: str, found: list[str] | None = None) -> DataFrame | None:
+    """The table as its last complete version has it (``found``: as of these versions); None if there is none."""
+    found = versions(spark, folder) if found is None else found
+    if not found:
+        return None
+    piece, newest = _current(spark, found)
+    return spark.read.parquet(*([piece] if piece else newest.values()))
+
+
+def merge_version(changes: DataFrame, folder: str, keys: list[str], order: str | None = None, tag: str = "") -> str | None:
+    """Upsert ``changes`` into the table at ``folder`` and write the parts that they fall into as its next version.
+
+    Keys are dealt to ``PARTS`` parts by hash; which parts change is all that reaches the driver. A version that
+    another writer has written meanwhile is read and merged into. ``tag`` names what is merged: a second merge under
+    one tag does nothing.
+    """
+    spark = changes.sparkSession
+    part = F.pmod(F.xxhash64(*[f"`{k}`" for k in keys]), F.lit(PARTS)).cast("int").alias(f"__part_{PARTS}")
+    while True:
+        found = versions(spark, folder)
+        if tag and any(v.endswith(f"-{tag}") for v in found):
+            return None
+        target = read_version(spark, folder, found)
+        newest = _current(spark, found)[1] if found else {}
+        new = _last(changes, keys, order)
+        if target is not None:
+            touched = {r[0] for r in new.select(part).distinct().collect()}
+            if newest:  # parts are read as folders: the others are not even listed
+                folders = [newest[k] for k in sorted(touched & set(newest))]
+                old = spark.read.schema(target.schema).parquet(*folders) if folders else target.limit(0)
+            else:
+                old = target
+            new = _put(old, new, keys)
+        try:
+            name = _next(spark, folder, found, ("-part" if newest else "") + (f"-{tag}" if tag else ""))
+            if new.isEmpty():
+                return commit_version(new, folder, found) if target is None else None
+            new.select("*", part).write.mode("errorifexists").partitionBy(f"__part_{PARTS}").parquet(name)
+            return name
+        except Conflict:
+            time.sleep(1)
+
+
+def compact(spark: SparkSession, folder: str) -> str:
+    """Write the table as one whole version and delete all older ones; no reader should still be reading those."""
     found = versions(spark, folder)
-    return spark.read.parquet(found[-1]) if found else None
+    name = commit_version(read_version(spark, folder, found), folder, found)
+    store, _ = _store(spark, folder)
+    for old in found:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    return name
 
 
-def incremental_sync(source: DataFrame, folder: str, keys: list[str], modified: str | None = None, watermark=None) -> str:
-    """Upsert what changed since ``watermark`` into the versioned table at ``folder``; create it if there is none."""
-    target = read_version(source.sparkSession, folder)
-    changes = changed_since(source, modified, watermark) if modified else source
-    return commit_version(_last(changes, keys, modified) if target is None else upsert(target, changes, keys, modified), folder)
+def incremental_sync(source: DataFrame, folder: str, keys: list[str], modified: str | None = None, watermark=None, tag: str = "") -> str | None:
+    """Upsert what changed at ``watermark`` or later into the versioned table at ``folder``; create it if there is none."""
+    return merge_version(changed_since(source, modified, watermark) if modified else source, folder, keys, modified, tag)
 
 
 @dataclass

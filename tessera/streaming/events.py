@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sync import incremental_sync
+from tessera.operators.sync import merge_version
 
 
 def windowed(stream: DataFrame, ts: str, width: str, keys: list[str], value: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -25,10 +27,12 @@ def sessions(stream: DataFrame, ts: str, gap: str, key: str, late: str = "1 hour
 def upsert_stream(stream: DataFrame, folder: str, keys: list[str], order: str, checkpoint: str):
     """Upsert each micro-batch into the versioned table at ``folder``; reads what is there, then stops.
 
-    A batch that is replayed after a failure gives the same table, as the last write per key wins.
+    Each batch is merged under a tag of its own, so that one that is replayed after a failure is not merged again,
+    and rewrites only the parts of the table that its keys fall into.
     """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
-    def merge(batch: DataFrame, _: int) -> None:
-        incremental_sync(batch, folder, keys, order)
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_version(batch, folder, keys, order, tag=f"{name}b{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

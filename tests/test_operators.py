@@ -192,13 +192,15 @@ def test_vector_store_index(spark, tmp_path):
     collection = VectorStore(spark, f"{tmp_path}/c", 3, "euclidean")
     collection.add(rows)
     exact = [r.id for r in collection.search([2, 3, 1], 4).collect()]
-    for kind in ("hnsw", "ivf"):
+    for kind in ("flat", "ivf"):
         collection.create_index(kind, 4)
         found = collection.search([2, 3, 1], 4, probes=4)
         assert [r.id for r in found.collect()] == exact and found.columns == [*rows.columns, "similarity", "distance"]
     assert collection.centers
     collection.delete([exact[0]])
     assert [r.id for r in collection.search([2, 3, 1], 3).collect()] == exact[1:]
+    with pytest.warns(UserWarning, match="no hnsw index"):
+        collection.create_index("hnsw")
     with pytest.raises(ValueError, match="index"):
         collection.create_index("tree")
 
@@ -266,6 +268,72 @@ def test_incremental_sync_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/f").columns == ["id", "name"]
 
 
+def test_rows_at_the_watermark_come_again(spark, tmp_path):
+    """A row written at the watermark after a sync is not lost, and a sync of nothing writes nothing."""
+    folder, schema = f"{tmp_path}/w", "id int, name string, at int"
+    sync.incremental_sync(spark.createDataFrame([(1, "a", 5)], schema), folder, ["id"], "at")
+    source = spark.createDataFrame([(1, "a", 5), (2, "late", 5)], schema)
+    assert sync.incremental_sync(source, folder, ["id"], "at", watermark=5)
+    assert sorted(r.name for r in sync.read_version(spark, folder).collect()) == ["a", "late"]
+    before = sync.versions(spark, folder)
+    assert sync.incremental_sync(source, folder, ["id"], "at", watermark=9) is None and sync.versions(spark, folder) == before
+    empty = f"{tmp_path}/e"
+    sync.incremental_sync(source.limit(0), empty, ["id"])
+    sync.incremental_sync(source, empty, ["id"])
+    assert sync.read_version(spark, empty).count() == 2
+
+
+def test_two_writers(spark, tmp_path):
+    """A version is written once: the second writer fails, or reads the first one's and merges into it."""
+    folder, schema = f"{tmp_path}/t", "id int, name string"
+    sync.merge_version(spark.createDataFrame([(i, "old") for i in range(200)], schema), folder, ["id"])
+    seen = sync.versions(spark, folder)
+    mine = sync.read_version(spark, folder, seen).withColumn("name", F.lit("mine"))
+    sync.merge_version(spark.createDataFrame([(1, "other"), (500, "other")], schema), folder, ["id"])
+    with pytest.raises(sync.Conflict):
+        sync.commit_version(mine, folder, seen)
+    real, raced = sync._next, []
+
+    def late(*a):  # another writer comes between reading and writing
+        if not raced:
+            raced.append(True)
+            sync.commit_version(sync.read_version(spark, folder).withColumn("name", F.lit("third")), folder)
+        return real(*a)
+
+    sync._next = late
+    try:
+        sync.merge_version(spark.createDataFrame([(2, "last")], schema), folder, ["id"])
+    finally:
+        sync._next = real
+    got = {r.id: r.name for r in sync.read_version(spark, folder).collect()}
+    assert len(got) == 201 and got[2] == "last" and got[500] == got[1] == "third"
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    folder, schema = f"{tmp_path}/t", "id int, name string"
+    sync.merge_version(spark.createDataFrame([(i, "old") for i in range(2000)], schema), folder, ["id"])
+    name = sync.merge_version(spark.createDataFrame([(7, "new"), (None, "no key")], schema), folder, ["id"])
+    parts = [p for p in (tmp_path / "t" / name.rpartition("/")[2]).iterdir() if p.is_dir()]
+    assert len(parts) == 2 and spark.read.parquet(name).count() < 200
+    got = {r.id: r.name for r in sync.read_version(spark, folder).collect()}
+    assert len(got) == 2001 and got[7] == "new" and got[None] == "no key" and got[8] == "old"
+    sync.compact(spark, folder)
+    assert len(sync.versions(spark, folder)) == 1 and {r.id: r.name for r in sync.read_version(spark, folder).collect()} == got
+    sync.merge_version(spark.createDataFrame([(8, "newer")], schema), folder, ["id"])
+    assert sync.read_version(spark, folder).filter("id = 8 OR id IS NULL").count() == 2
+
+
+def test_ties_and_replays_give_the_same_rows(spark, tmp_path):
+    rows = [(1, n, 3) for n in "abcdef"] + [(None, n, 3) for n in "xyyz"]
+    schema = "id int, name string, at int"
+    got = {tuple(sorted(map(tuple, sync._last(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3), ["id"], "at").collect()), key=str)) for k in range(0, 10, 3)}
+    assert len(got) == 1 and len(got.pop()) == 5
+    folder = f"{tmp_path}/r"
+    batch = spark.createDataFrame(rows, schema)
+    assert sync.merge_version(batch, folder, ["id"], "at", tag="s1b0") and sync.merge_version(batch, folder, ["id"], "at", tag="s1b0") is None
+    assert sync.merge_version(batch, folder, ["id"], "at", tag="s1b1") and sync.read_version(spark, folder).filter("id IS NULL").count() == 8
+
+
 def test_schema_evolution(spark):
     old = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("gone", T.StringType())])
     new = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("v", T.DoubleType()), T.StructField("tier", T.StringType())])
@@ -297,6 +365,9 @@ def test_conditions(spark):
     got = [count(c) for c in ("i = 1", "s = 30", "s != 30", "i != 1", "d != 9", "s > 1", "d >= 2.5", "s contains x", "s contains 3", "b = true", "b != true", "i = 1.0", "nothing = 1")]
     assert got == [1, 0, 2, 1, 1, 0, 1, 1, 0, 1, 1, 1, 0]
     assert count("s > 1", lenient=True) == 1
+    assert [records.parse_literal(x) for x in ("1", "-2.5", "1e3", ".5", "1_000", "nan", "inf", "true", "x")] == [1, -2.5, 1000.0, 0.5, "1_000", "nan", "inf", True, "x"]
+    same = records.map_records(df, [{"source": "i", "transform": "multiply(x)"}, {"source": "d", "transform": "divide(nan)"}])
+    assert sync.same_rows(same, df)
     for bad in ("i 1", "i ~ 1", "a = b c"):
         with pytest.raises(sources.ConfigError):
             count(bad)
