@@ -34,10 +34,10 @@ def quality_weight(text: Column, size: Column) -> Column:
     return clean * F.least(F.lit(1.0), (size + F.lit(6)) / F.lit(60.0))
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """In (0, 1), from the first 48 bits of an MD5 of seed and id, so that reruns agree."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from the first 48 bits of an MD5 of seed, id and text, so that reruns agree and only equal rows tie."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return (F.conv(F.substring(F.md5(named.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
@@ -81,16 +81,16 @@ def mix(
     ``share`` of all words is dealt to the sources by ``weights``; ``quality`` is a column of positive document
     weights; ``buckets`` is how many an interval of 1 of ``ln(key)`` has. Whole documents are taken: the one at the boundary only if that brings its source nearer to its
     target. Null texts have size 0 and are never counted; null sources form one source; repeated rows are
-    rows of their own (same key, so neighbours); an empty table gives no rows; other columns are ignored.
+    rows of their own (same key, so neighbours), and rows that share an id, or have none, are spread by their texts; an empty table gives no rows; other columns are ignored.
     """
     size = word_count(F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size"), (quality_weight(F.col("text"), size) if quality is None else quality).alias("weight"), F.xxhash64("text").alias("text_hash"))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("weight")
+    sized = docs.select("doc_id", "source", size.alias("size"), (quality_weight(F.col("text"), size) if quality is None else quality).alias("weight"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), F.xxhash64("text").alias("text_hash"))
+    key = -F.log("u") / F.col("weight")
     keyed = cut(
         sized.withColumn("key", key)
         .withColumn("bucket", F.floor(F.ln("key") * buckets).cast("int"))
         .withColumn("place", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))))
-        .drop("weight")
+        .drop("weight", "u")
     )
     dealt = keyed.groupBy("place", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("in_bucket"))
     dealt = dealt.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("place").orderBy("bucket")) - F.col("in_bucket"))

@@ -9,7 +9,7 @@ WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS size FROM documents
 ), k AS (
     SELECT *, greatest(0.05, 1.0::DOUBLE - 5.0::DOUBLE * (length(t) - length(translate(t, '#*$%&|<>!', ''))) / greatest(length(t), 1)) * least(1.0::DOUBLE, (size + 6) / 60.0::DOUBLE) AS weight,
-        (('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM d
+        (('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM d
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM k GROUP BY source
 ), c AS (

@@ -107,7 +107,8 @@ MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def plan_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, fraction: float = 0.01, seed: int = 7) -> list[str]:
-    """Names of ``rules`` by rejections per second on a sample of ``fraction`` of ``docs``; ties by name.
+    """Names of ``rules`` by rejections per second on a sample of ``fraction`` of ``docs``; of equals, the one
+    given first. Seconds are measured, so two runs may order rules of like gain differently.
 
     Only sums per rule reach the driver. With an empty sample the given order stays.
     """
@@ -132,6 +133,8 @@ def plan_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, fraction: float
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, measures: bool = False) -> DataFrame:
     """``docs`` with ``rejected_by``: the first rule, in cascade order, that rejects the row's text, or null.
 
+    Whether a row is rejected does not depend on the order; which rule is named does: give ``order`` to have reruns agree.
+
     ``measures`` adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed for every row,
     rejected or not. Null texts count as empty; empty texts fail for want of words; repeated rows are judged
     alike; an empty table gives an empty result. Columns of the input with these names are replaced.

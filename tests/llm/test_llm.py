@@ -81,6 +81,14 @@ def test_mixing_weights_shape_the_sample(spark):
     assert even > 3 * odd
 
 
+def test_mixing_spreads_rows_without_an_id(spark):
+    """Rows with null ids, or one id, draw keys of their own: none of the sort tasks gets them all."""
+    for doc_id in (None, 7):
+        docs = spark.range(3000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("a b "), "id").alias("text"), F.lit("s").alias("source"))
+        assert docs.select(mixing.uniform(F.col("doc_id"), F.col("text"), 17)).distinct().count() == 3000
+        assert mixing.mix(docs, share=0.5).agg(F.sum("taken")).first()[0] == 4500
+
+
 def test_mixing_edge_cases(spark):
     docs = frame(spark, odd_rows()).withColumn("size", F.lit("clash")).withColumn("target", F.lit(1))
     got = mixing.mix(docs).collect()
@@ -669,7 +677,7 @@ def test_pipeline_mix_of_equal_rows(spark):
 def test_mixing_deals_low_weights_evenly(spark):
     """A source of low weights only does not end in one bucket."""
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("s").alias("source"))
-    key = -F.ln(mixing.uniform(F.col("doc_id"), 17)) / 1e-6
+    key = -F.ln(mixing.uniform(F.col("doc_id"), F.lit("w"), 17)) / 1e-6
     assert docs.groupBy(F.floor(F.ln(key) * 1024)).count().agg(F.max("count")).first()[0] < 0.002 * 20_000
     got = mixing.mix(docs, share=0.25, quality=F.lit(1e-6))
     assert got.agg(F.sum("taken")).first()[0] == 5000
