@@ -79,12 +79,36 @@ def anomalies(df: DataFrame, ts: str, value: str, threshold: float = 3.0) -> Dat
     return out.filter(F.abs("z_score") > threshold).withColumn("status", F.lit("Anomaly")).orderBy("timestamp")
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = 30) -> DataFrame:
-    """``df`` with rolling_avg and rolling_std over the current and the ``rows`` preceding rows of the same ``keys``."""
+#: Rows of a range of :func:`rolling`; a table of fewer rows is one range.
+RANGE_ROWS = 2_000_000
+
+
+def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = 30, ranges: int | None = None) -> DataFrame:
+    """``df`` with rolling_avg and rolling_std over the current and the ``rows`` preceding rows of the same ``keys``.
+
+    A key may have very many rows: these are dealt to ``ranges`` (default: by their number) of the first ``order``
+    column, of about equal size. Each range is sorted by itself, after the last ``rows`` rows of those before it.
+    """
     if not keys:
         raise ValueError("a rolling window needs keys: without them one task would sort the whole table")
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, 0)
-    return df.withColumns({"rolling_avg": F.avg(value).over(frame), "rolling_std": F.stddev(value).over(frame)})
+    ranges = -(-df.count() // RANGE_ROWS) if ranges is None else ranges
+    found = lambda frame: {"rolling_avg": F.avg(value).over(frame), "rolling_std": F.stddev(value).over(frame)}
+    if ranges <= 1:
+        return df.withColumns(found(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, 0)))
+    number = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double") if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(order[0]).cast("double")
+    marks = sorted(set(df.select(number.alias("n")).approxQuantile("n", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    at = F.coalesce(F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= number)), F.lit(0)) if marks else F.lit(0)
+    dealt = df.withColumn("__range", at)
+    # The last rows of each range, and of these, for each range, the last of all before it.
+    backwards = Window.partitionBy(*keys, "__range").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    tails = dealt.withColumn("__nth", F.row_number().over(backwards)).filter(F.col("__nth") <= rows)
+    along = Window.partitionBy(*keys).orderBy("__range", *order)
+    held = tails.withColumn("__held", F.collect_list(F.struct(*[f"`{c}`" for c in df.columns])).over(along.rowsBetween(-rows + 1, 0)))
+    halo = held.withColumn("__next", F.lead("__range").over(along)).filter("__next > __range")
+    halo = halo.select(F.explode("__held").alias("__row"), F.col("__next").alias("__range")).select("__row.*", "__range", F.lit(True).alias("__halo"))
+    both = dealt.withColumn("__halo", F.lit(False)).unionByName(halo)
+    frame = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(-rows, 0)
+    return both.withColumns(found(frame)).filter("NOT __halo").drop("__range", "__halo")
 
 
 def rolling_anomalies(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = 30, threshold: float = 3.0) -> DataFrame:

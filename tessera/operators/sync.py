@@ -185,7 +185,8 @@ def merge_version(changes: DataFrame, folder: str, keys: list[str], order: str |
             name = _next(spark, folder, found, ("-part" if newest else "") + (f"-{tag}" if tag else ""))
             if new.isEmpty():
                 return commit_version(new, folder, found) if target is None else None
-            new.select("*", part).write.mode("errorifexists").partitionBy(f"__part_{PARTS}").parquet(name)
+            # Rebalanced by part: few files for each, and a part that is large is split.
+            new.select("*", part).hint("rebalance", f"__part_{PARTS}").write.mode("errorifexists").partitionBy(f"__part_{PARTS}").parquet(name)
             return name
         except Conflict:
             time.sleep(1)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tessera.functions import sql
 from tessera.functions import vectors as V
 from tessera.functions.times import time_bucket
-from tessera.operators import analytics, records, search, store, sync
+from tessera.operators import analytics, joins, records, search, store, sync
 from tessera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -363,6 +363,30 @@ def q_bound_parameters(spark, sf_dir):
     return query(spark, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = :c AND o_orderstatus = :s", {"c": 10, "s": "O"})
 
 
+_sql("q_right_join", "SELECT n_name, count(s_suppkey) AS suppliers FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) s RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name", "supplier", "nation")
+_sql("q_theta_join", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey < r_regionkey GROUP BY r_name", "nation", "region")
+
+
+@registered("""
+    SELECT p.event_id, count(*) AS n, round(sum(e.value), 2) AS total FROM events p JOIN events e ON e.user_id = p.user_id AND e.ts BETWEEN p.ts - INTERVAL 6 HOURS AND p.ts
+    WHERE p.event_type = 'purchase' GROUP BY p.event_id""")
+def q_range_join(spark, sf_dir):
+    """What each buyer did in the six hours before a purchase, itself included."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    found = joins.range_join(events.filter("event_type = 'purchase'"), events, ["user_id"], "ts", 6 * 3600)
+    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.sum("r_value"), 2).alias("total"))
+
+
+@registered("""
+    SELECT p.event_id, max(v.ts) AS r_viewed FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND v.ts <= p.ts GROUP BY p.event_id""")
+def q_asof_join(spark, sf_dir):
+    """The last view of each buyer at or before a purchase."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type").withColumn("viewed", F.col("ts"))
+    found = joins.asof_join(events.filter("event_type = 'purchase'"), events.filter("event_type = 'view'"), ["user_id"], "ts", ["viewed"])
+    return found.select("event_id", "r_viewed")
+
+
 # Synchronisation
 
 
@@ -402,13 +426,63 @@ def bulk_delete(spark, sf_dir):
     return sync.delete_rows(target, target.filter("c_nationkey = 4"), ["c_custkey"]).select("c_custkey", "c_name")
 
 
-@registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-01'")
+@registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1999-06-01'")
 def changed_since_watermark(spark, sf_dir):
     import datetime
 
     return sync.changed_since(table(spark, sf_dir, "orders"), "o_orderdate", datetime.datetime(1999, 6, 1)).select("o_orderkey", "o_totalprice")
 
 
+@registered("SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1999-06-01' THEN 1.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders")
+def incremental_sync_at_watermark(spark, sf_dir):
+    """A table synced once, then again from the newest day of its source on: rows of that day itself have changed."""
+    import datetime
+
+    folder, day = f"{_shared(spark)}/tessera-sync-{uuid.uuid4().hex}", datetime.datetime(1999, 6, 1)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    sync.incremental_sync(orders, folder, ["o_orderkey"], "o_orderdate")
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderdate") >= F.lit(day), F.lit(1.0)).otherwise(F.col("o_totalprice")))
+    sync.incremental_sync(changed, folder, ["o_orderkey"], "o_orderdate", day)
+    return sync.read_version(spark, folder).select("o_orderkey", "o_totalprice")
+
+
+@registered("SELECT * FROM (VALUES ('customer'), ('orders')) t(table_name)")
+def tracker_pending(spark, sf_dir):
+    """Tables that have changed since their last sync."""
+    import datetime
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    tracker = sync.ChangeTracker.empty(spark)
+    for name in ("orders", "customer", "part"):
+        tracker = tracker.register(name, day(1))
+    tracker = tracker.mark_synced("part", day(2)).mark_synced("orders", day(2)).register("orders", day(3))
+    return tracker.pending().select("table_name")
+
+
+@registered("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 3")
+def sync_tables_by_key(spark, sf_dir):
+    """Two tables synced under one root, one of them twice."""
+    import datetime
+
+    root, at = f"{_shared(spark)}/tessera-tables-{uuid.uuid4().hex}", datetime.datetime(2024, 1, 1)
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").filter("n_nationkey <> 3")
+    sources, keys = {"nation": nation, "region": table(spark, sf_dir, "region")}, {"nation": ["n_nationkey"], "region": ["r_regionkey"]}
+    tracker = sync.sync_tables(sources, root, keys, sync.ChangeTracker.empty(spark), at, force=True)
+    sync.sync_tables(sources, root, keys, tracker.register("nation", at + datetime.timedelta(days=1)), at + datetime.timedelta(days=2))
+    return sync.read_version(spark, f"{root}/nation")
+
+
+@registered("SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS size, count(*) OVER () AS kept FROM embeddings WHERE vec_id % 5 <> 0")
+def vector_store_delete(spark, sf_dir):
+    """A collection: rows added, some replaced, some deleted, the rest counted."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("metadata"))
+    collection = store.VectorStore(spark, f"{_shared(spark)}/tessera-vectors-{uuid.uuid4().hex}", 64)
+    collection.add(rows)
+    collection.add(rows.filter("CAST(id AS INT) % 7 = 0"))
+    collection.delete(rows.filter("CAST(id AS INT) % 5 = 0").select("id"))
+    return collection.rows().select("id", F.size("vector").cast("long").alias("size"), F.lit(collection.count()).cast("long").alias("kept"))
+
+
 @registered("SELECT s_name, s_suppkey FROM supplier")
 def snapshot_projection(spark, sf_dir):
     return sync.project(table(spark, sf_dir, "supplier"), include=["s_name", "no_such_column", "s_suppkey"])
@@ -507,6 +581,69 @@ def stream_bucket_available_now(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@registered("""
+    SELECT CAST(to_timestamp(floor(epoch(ts) / 21600) * 21600 - k * 21600) AT TIME ZONE 'UTC' AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total
+    FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2""")
+def stream_sliding_windows(spark, sf_dir):
+    """Windows of twelve hours that begin every six."""
+    from tessera.streaming.events import windowed
+
+    return _ran(spark, windowed(_events(spark, sf_dir), "ts", "12 hours", ["event_type"], "value", slide="6 hours"), "stream_sliding_windows").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total")
+    )
+
+
+@registered("""
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(spark, sf_dir):
+    """Runs of a user's events with gaps below two hours."""
+    from tessera.streaming.events import sessions
+
+    out = _ran(spark, sessions(_events(spark, sf_dir), "ts", "2 hours", "user_id"), "stream_sessions")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@registered("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id")
+def stream_upsert(spark, sf_dir):
+    """The last event per user, kept by upserts of micro-batches."""
+    from tessera.streaming.events import upsert_stream
+
+    folder = f"{_shared(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    seen = _events(spark, sf_dir).select("user_id", F.col("ts").alias("last_seen"))
+    upsert_stream(seen, f"{folder}/table", ["user_id"], "last_seen", f"{folder}/checkpoint").awaitTermination()
+    return sync.read_version(spark, f"{folder}/table")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(spark, sf_dir))
+
+
+def _ran(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """The result of a stream that is run to its end."""
+    stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+# Files
+
+
+def _round_trip(kind: str) -> Query:
+    def run(spark, sf_dir):
+        folder = f"{_shared(spark)}/tessera-{kind}-{uuid.uuid4().hex}"
+        df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+        df.write.options(**({"header": True} if kind == "csv" else {})).format(kind).save(folder)
+        options = {"header": True} if kind == "csv" else {}
+        return spark.read.schema(df.schema).options(**options).format(kind).load(folder).filter("c_nationkey < 20")
+
+    return run
+
+
+for _kind in ("csv", "json", "orc"):
+    registered("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 20", f"round_trip_{_kind}")(_round_trip(_kind))
+
+
 def _stream_path(spark: SparkSession, sf_dir: str) -> str:
     """A pattern: file streams read folders, and the table may be one file."""
     return f"{sf_dir}/events.parquet*"

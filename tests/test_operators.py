@@ -483,6 +483,38 @@ def test_stream_upsert_and_sessions(spark, tmp_path):
     assert sliding.agg(F.sum("n")).first()[0] == 8
 
 
+# Joins and windows in slices
+
+
+def test_rolling_in_ranges_equals_one_range(spark):
+    """Ranges with fewer rows than the window, empty ones, ties and nulls of the order, a key with most rows."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("aaaaab"), rng.choice([None, *range(40)]), float(rng.randrange(100))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, at int, v double")
+    got, want = (sorted(((r.id, round(r.rolling_avg, 9), None if r.rolling_std is None else round(r.rolling_std, 9)) for r in analytics.rolling(df, ["k"], ["at", "id"], "v", 30, ranges=n).collect()), key=str) for n in (9, 1))
+    assert got == want and len(got) == 400
+    assert analytics.rolling(df.limit(0), ["k"], ["at", "id"], "v", ranges=3).count() == 0
+
+
+def test_slices_lose_no_pair(spark):
+    import random
+
+    from tessera.operators import joins
+
+    rng = random.Random(4)
+    make = lambda n: [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(60)])) for i in range(n)]
+    a, b = make(120), make(150)
+    left, right = (spark.createDataFrame(x, "id int, k int, at int") for x in (a, b))
+    got = sorted((r.id, r.r_id) for r in joins.range_join(left, right, ["k"], "at", 7).collect())
+    pairs = [(x, y) for x in a for y in b if None not in x and None not in y and x[1] == y[1]]
+    assert got == sorted((x[0], y[0]) for x, y in pairs if 0 <= x[2] - y[2] <= 7)
+    found = {r.id: r.r_id for r in joins.asof_join(left, right, ["k"], "at", ["id"], width=5).collect()}
+    want = {x[0]: max(((y[2], y[0]) for z, y in pairs if z is x and y[2] <= x[2]), default=(None, None))[1] for x in a}
+    assert found == want and None in want.values() and joins.asof_join(left.limit(0), right, ["k"], "at", ["id"]).count() == 0
+
+
 # Plans
 
 
