@@ -77,8 +77,6 @@ def search_all(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(V.METRICS)}")
     spark = df.sparkSession
-    # A pair of blocks is one row: Arrow batches are held to a few of them.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")), 32 << 20)))
     tasks = spark.sparkContext.defaultParallelism
     asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).filter("v IS NOT NULL").coalesce(tasks)
     left = _chunks(asked, "q", "v", block).withColumnsRenamed({"ids": "qs", "data": "query", "size": "query_size"}).drop("has")

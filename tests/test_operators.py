@@ -483,6 +483,20 @@ def test_stream_upsert_and_sessions(spark, tmp_path):
     assert sliding.agg(F.sum("n")).first()[0] == 8
 
 
+def test_exact_quantiles(spark):
+    """Ties, nulls, few and no values; brackets as narrow as they get."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(float(rng.randrange(50)), rng.random() ** 9, None, 7) for _ in range(4001)] + [(None, None, None, 7)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d int")
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probabilities])) for c in "abcd"]).first()
+    got = analytics.exact_quantiles(df, list("abcd"), probabilities, error=1e-3)
+    assert [w and [round(x, 12) for x in w] for w in want] == [None if x[0] is None else [round(y, 12) for y in x] for x in got]
+    assert analytics.exact_quantiles(df.filter("d = 8"), ["a", "d"], [0.5]) == [[None], [None]]
+
+
 # Joins and windows in slices
 
 
