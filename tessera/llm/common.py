@@ -64,6 +64,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in a folder of its own in the shared folder, to be given to :func:`drop` when it has been used."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def drop(folder: str) -> None:
+    """Delete a folder of the shared folder."""
+    store, path = file_system(folder)
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_dir(path)
+
+
 def row_keys(prefix: str = "") -> list[Column]:
     """Two hashes of a row's doc_id and text, 128 bits together and never null, to find the row again by."""
     return [F.xxhash64("doc_id", "text").alias(f"{prefix}k1"), F.xxhash64("text", "doc_id").alias(f"{prefix}k2")]

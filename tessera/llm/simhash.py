@@ -127,7 +127,11 @@ def _distinct(row: np.ndarray, key: np.ndarray, side: np.ndarray) -> tuple[np.nd
 
 
 def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints ``classes.fp`` that differ in ``max_bits`` (3 at most) or fewer bits."""
+    """Pairs a < b of the distinct fingerprints ``classes.fp`` that differ in ``max_bits`` (3 at most) or fewer bits.
+
+    Fingerprints are distinct, so the pairs of each are bounded by the 43,744 values within three bits of it, however
+    many rows have it. Sides that share a key are compared where they meet, and only linked pairs leave that task.
+    """
     if max_bits > 3:
         raise ValueError("the keys cover up to three differing bits")
 

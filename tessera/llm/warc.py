@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -209,10 +208,3 @@ def to_base32(sha1_hex: Column) -> Column:
     group = lambda i: F.conv(F.substring(sha1_hex, 5 * i + 1, 5), 16, 10).cast("int")
     digit = lambda i, k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(group(i), 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1))
     return F.concat(*[digit(i, k) for i in range(8) for k in range(4)])
-
-
-def free(folder: str) -> None:
-    """Delete a folder of archives, index included."""
-    store, path = file_system(folder)
-    if store.get_file_info(path).type != fs.FileType.NotFound:
-        store.delete_dir(os.fspath(path))

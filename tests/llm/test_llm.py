@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -134,7 +135,7 @@ def test_warc_spreads_a_hot_payload(spark):
     index = warc.write_archives(pages, folder)
     sizes = [r["count"] for r in index.groupBy("archive").count().collect()]
     assert sum(sizes) == 100_000 and max(sizes) < 0.3 * 100_000 and index.filter("record_type = 'response'").count() == 1
-    warc.free(folder)
+    common.drop(folder)
 
 
 def test_warc_selected_records_by_range(spark, sf):
@@ -148,7 +149,7 @@ def test_warc_selected_records_by_range(spark, sf):
     large = rows_of(warc.archive_and_read(pages, min_revisit_bytes=10**9).groupBy("record_type").count())
     assert large == [("response", pages.count())]
     assert warc.archive_and_read(pages.limit(0)).count() == 0
-    warc.free(folder)
+    common.drop(folder)
 
 
 # 3 and 5: classifiers
@@ -454,6 +455,15 @@ def test_components_of_long_chains(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_a_hub_and_no_folders_left(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_EDGES", 10)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 1000)]
+    folders = lambda: {p.name for p in Path(common.shared_dir(spark)).glob("tessera-edges-*")}
+    before = folders()
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(300), *range(1000, 1041)]} and len(folders() - before) == 1
+
+
 # 8: lines
 
 
