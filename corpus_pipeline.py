@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns a DataFrame, which is
 written as Parquet and read again for the next stage. All but the last return the columns of ``documents``; the
 last adds how often each document is taken.
+
+In every stage an empty table gives an empty one, extra columns of any name pass through, and null or repeated ids are
+allowed. What null and empty texts, ties and repeated rows become is said at each stage.
 """
 
 from __future__ import annotations
@@ -15,12 +18,16 @@ from tessera.llm.common import new_folder, shielded, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects: null and empty texts go, having no words; repeated rows are judged alike."""
     return rules.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without cross-site boilerplate lines; ``n_chars``, if there, follows the text."""
+    """The documents without cross-site boilerplate lines; ``n_chars``, if there, follows the text.
+
+    No row goes: null texts stay null, a text whose every line goes is empty. Of repeated rows, each that ties for a
+    line's first place keeps it.
+    """
     plain, restored = shielded(docs, ["n_lines", "n_removed"])
     cleaned = linededup.remove_boilerplate(plain)
     if "n_chars" in docs.columns:
@@ -30,12 +37,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one of smallest doc_id, of ties and equal rows one of them.
+
+    Null and empty texts are near-duplicates of each other.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages of the benchmark; those that are mostly such passages go."""
+    """The documents without passages of the benchmark; those that are mostly such passages go.
+
+    Null and empty texts stay as they are; repeated rows are cut alike.
+    """
     clean = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -43,7 +56,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with ``copies``: how often each is taken.
+    """The documents of the mix, with ``copies`` (``copies_taken``, if the documents have a column ``copies``): how often
+    each is taken. Those taken no times go, and so do null texts and texts without words, which have no size.
 
     Equal rows are neighbours in the mix and so differ by one copy at most: the first few of them, in any
     order, get the larger number.
@@ -55,7 +69,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__text_hash")
     taken = F.when(F.row_number().over(place) <= F.col("__more"), F.col("__most")).otherwise(F.col("__least"))
     dealt = docs.join(mixed.filter("__most > 0"), same).withColumn("__copies", taken).filter("__copies > 0")
-    return dealt.select([f"`{c}`" for c in docs.columns if c != "copies"] + [F.col("__copies").alias("copies")])
+    name = "copies_taken" if "copies" in docs.columns else "copies"
+    return dealt.select([f"`{c}`" for c in docs.columns if c != name] + [F.col("__copies").alias(name)])
 
 
 STAGES = [
