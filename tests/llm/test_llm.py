@@ -433,6 +433,64 @@ def test_near_dedup_keeps_unlinked_rows_of_null_and_repeated_ids(spark):
     assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (3, texts[3])], key=str)
 
 
+def shingles_of(text, size=5):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or {" ".join(words)}
+
+
+def groups_of(sets, at_least):
+    """Smallest id of each id's component of pairs that share ``at_least`` of their shingles."""
+    root, holders = {i: i for i in sets}, defaultdict(list)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for i, j in {(ids[0], j) for ids in holders.values() for j in ids[1:]} | {p for ids in holders.values() if len(ids) < 40 for p in zip(ids, ids[1:], strict=False)}:
+        if len(sets[i] & sets[j]) >= at_least * len(sets[i] | sets[j]) and (a := find(i)) != (b := find(j)):
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Copies with one word in 60 or more changed, put in or left out go; texts that share half of their shingles stay."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+    for base in range(60):
+        words = rng.choices(vocabulary, k=rng.choice([60, 150, 400, 3000]))
+        for copy in range(rng.choice([1, 2, 4])):
+            own = list(words)
+            for _ in range(copy * max(1, len(words) // 200)):
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice([[rng.choice(vocabulary)], [], [own[k], rng.choice(vocabulary)]])
+            rows.append((n := n + 1, " ".join(own), "s"))
+        rows.append((n := n + 1, " ".join(words[: len(words) // 2] + rng.choices(vocabulary, k=len(words) // 2)), "s"))
+        if base % 5 == 0:
+            rows.append((n := n + 1, "  ".join(words).upper(), "s"))
+    sets = {i: shingles_of(t) for i, t, _ in rows}
+    kept = {r.doc_id for r in simhash.keep_dissimilar(frame(spark, rows).withColumn("fp", F.lit("clash"))).collect()}
+    sure, may = groups_of(sets, 0.9), groups_of(sets, 0.72)
+    assert len({sure[i] for i in kept}) == len(kept) and {may[i] for i in kept} == set(may.values()) and len(kept) < len(rows) - 40
+    pairs = [(a, b) for a in list(sets)[:40] for b in list(sets)[:40] if a < b]
+    signatures = dict(zip(sets, simhash.profiles([t for _, t, _ in rows], 5)["signature"], strict=True))
+    matrix = lambda k: np.array([np.frombuffer(signatures[p[k]], np.uint8) for p in pairs])
+    exact = np.array([len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs])
+    assert np.abs(simhash.agreement(matrix(0), matrix(1)) - exact).max() < 0.12
+
+
+def test_similar_texts_edge_cases(spark):
+    kept = simhash.keep_dissimilar(frame(spark, odd_rows()).withColumn("signature", F.lit("clash")))
+    assert sorted(kept.select("doc_id").collect(), key=str) == sorted([(1,), (4,), (None,), (5,), (6,)], key=str) and kept.columns[-1] == "signature"
+    assert simhash.keep_dissimilar(frame(spark, [])).count() == 0
+    rows = [(None, "a b c", "s"), (None, "a  B c", "s"), (7, "x y", "s"), (7, "x y", "s"), (7, "z", "s"), (3, "Z", "s"), (None, "z", "s")]
+    assert sorted((r.doc_id or 0, r.text.lower().split()[0]) for r in simhash.keep_dissimilar(frame(spark, rows)).collect()) == [(0, "a"), (3, "z"), (7, "x")]
+
+
 def test_golay_links_every_pair(spark):
     rng = random.Random(2)
     pairs = set()
@@ -641,16 +699,10 @@ def test_pipeline_against_brute_force(spark):
     assert {i: r.text for i, r in after.items()} == want and any(after[i].text != before[i].text for i in after)
     assert all(r.n_chars == len(r.text) or r.text == before[i].text for i, r in after.items())
     before, after = after, step("near_dedup")
-    prints, root = {i: brute_fingerprint(r.text) for i, r in before.items()}, {}
-    for i in sorted(prints):
-        if i not in root:
-            stack = [i]
-            while stack:
-                j = stack.pop()
-                if j not in root:
-                    root[j] = i
-                    stack += [k for k in prints if k not in root and (prints[j] ^ prints[k]).bit_count() <= 3]
-    assert after == {i: before[i] for i in set(root.values())} and len(after) < len(before)
+    sets = {i: shingles_of(r.text) for i, r in before.items()}
+    sure, may = groups_of(sets, 0.9), groups_of(sets, 0.72)
+    assert all(after[i] == before[i] for i in after) and 0 < len(after) < len(before)
+    assert len({sure[i] for i in after}) == len(after) and {may[i] for i in after} == set(may.values())
     before, after = after, step("decontamination")
     low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for i, r in before.items():
