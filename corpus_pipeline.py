@@ -37,11 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id, of ties and equal rows one of them.
-
-    Null and empty texts are near-duplicates of each other.
+    """One document of each group that is linked by 0.8 or more of its five-word shingles: the one of smallest doc_id (null
+    ids last), of ties and equal rows one of them. Null and empty texts are alike.
     """
-    return simhash.keep_one(docs)
+    return simhash.keep_dissimilar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
