@@ -6,16 +6,23 @@ one partition per file, and takes equality filters on its top-level columns into
 
 from __future__ import annotations
 
+import io
 import json
+import re
 from collections.abc import Iterator
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 SCHEMA = "id string, source string, timestamp string, fields map<string,string>"
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path: a plain path, or a URI that Arrow knows (file, hdfs, s3, gs)."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class JsonDocuments(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -40,10 +47,13 @@ class JsonDocumentsReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.options["path"]).glob("*.json*"))]
+        store, folder = _store(self.options["path"])
+        files = [f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.type == fs.FileType.File and re.search(r"\.json[^/]*$", f.path)]
+        return [InputPartition(f) for f in sorted(files)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as lines:
+        store, _ = _store(self.options["path"])
+        with io.TextIOWrapper(store.open_input_stream(partition.value, compression=None), encoding="utf-8") as lines:
             for line in lines:
                 record = json.loads(line)
                 row = (record.get("id"), record.get("source"), record.get("timestamp"), {k: None if v is None else str(v) for k, v in (record.get("fields") or {}).items()})
