@@ -27,7 +27,7 @@ def frame(spark, rows):
 
 def odd_rows():
     """Nulls, empty, blank, very long and repeated rows."""
-    return [(1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, "word", None), (None, "no id here", "b"), (5, "x y " * 40_000, "b"), (6, "same text\nhere", "a"), (6, "same text\nhere", "a")]
+    return [(1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, "word", None), (None, "no id here", "b"), (5, "x y " * 300_000, "b"), (6, "same text\nhere", "a"), (6, "same text\nhere", "a")]
 
 
 def rows_of(df):
