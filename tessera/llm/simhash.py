@@ -139,34 +139,57 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
     """
     if max_bits > 3:
         raise ValueError("the keys cover up to three differing bits")
-    return _near(classes.select(F.lit(0).alias("t"), "fp"), max_bits).select("a", "b")
+    return _near(classes.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("root")), max_bits).select("a", "b")
 
 
 def _near(prints: DataFrame, max_bits: int) -> DataFrame:
-    """t, a < b: fingerprints ``fp`` of one kind ``t`` that share a key and differ in ``max_bits`` or fewer bits: up to
-    three all such pairs, beyond them those whose differing bits the keys happen to bear."""
+    """t, a < b: fingerprints ``fp`` of one kind ``t`` and of different ``root`` that share a key and differ in ``max_bits`` or
+    fewer bits: up to three all such pairs, beyond them those whose differing bits the keys happen to bear."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables()
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                fps, kind = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 0))
+                kind, fps, root = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                 row, key, side = class_keys(fps.astype(np.int64), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(kind[row], pa.int32()), pa.array(key), pa.array(side.astype(np.int8)), pa.array(fps[row])], names=["t", "key", "side", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(kind[row], pa.int32()), pa.array(key), pa.array(side.astype(np.int8)), pa.array(fps[row]), pa.array(root[row])], names=["t", "key", "side", "fp", "root"])
 
-    keys = map_arrow(prints.select("t", "fp"), run, "t int, key long, side byte, fp long")
-    left, right = keys.filter("side != 1").select("t", "key", F.col("fp").alias("x")), keys.filter("side != 0").select("t", "key", F.col("fp").alias("y"))
-    near = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits) & (F.col("x") != F.col("y"))
+    keys = map_arrow(prints.select("t", "fp", "root"), run, "t int, key long, side byte, fp long, root long")
+    side = lambda rows, fp, root: rows.select("t", "key", F.col("fp").alias(fp), F.col("root").alias(root))
+    left, right = side(keys.filter("side != 1"), "x", "x_root"), side(keys.filter("side != 0"), "y", "y_root")
+    near = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits) & (F.col("x") != F.col("y")) & (F.col("x_root") != F.col("y_root"))
     pairs = left.join(right, ["t", "key"]).filter(near)
     return pairs.select("t", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _starred(prints: DataFrame, max_bits: int) -> DataFrame:
+    """t, a < b: each fingerprint ``fp`` of a kind ``t`` with the least one that has two of its segments and differs in
+    ``max_bits`` or fewer bits: at most three pairs for each, which tie most of a dense cluster together."""
+    others = [(2**64 - 1) ^ ((2**w - 1) << s) for s, w in SEGMENTS]
+    masks = [m - 2**64 if m >= 2**63 else m for m in others]  # as signed longs
+    held = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])
+    keyed = prints.select("t", "fp", F.inline(held))
+    least = cut(keyed.groupBy("t", "part", "rest").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    pairs = keyed.withColumnRenamed("fp", "b").join(least.drop("n"), ["t", "part", "rest"]).filter(F.col("a") < F.col("b"))
+    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("t", "a", "b").distinct()
+
+
+def linked(classes: DataFrame, max_bits: int = 3) -> DataFrame:
+    """node, root of every fingerprint ``classes.fp`` that has a link: the components of all links, of which those inside a
+    cluster that few links already tie together are not listed."""
+    if max_bits > 3:
+        raise ValueError("the keys cover up to three differing bits")
+    few = cut(_starred(classes.select(F.lit(0).alias("t"), "fp"), max_bits).select("a", "b"))
+    tied = classes.select("fp").join(components(few), F.col("fp") == F.col("node"), "left").select(F.lit(0).alias("t"), "fp", F.coalesce("root", "fp").alias("root"))
+    return components(few.unionAll(_near(tied, max_bits).select("a", "b")))
+
+
 def _marked(docs: DataFrame, max_bits: int, shingle: int) -> DataFrame:
     """As near_duplicates, and root (the least fingerprint of the component): its key, while component_id need not be unique."""
     prints = cut(fingerprints(docs, shingle))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(classes, max_bits))  # node, root: only classes with links
+    roots = linked(classes, max_bits)  # node, root: only classes with links
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = cut(rooted.join(first, "root").select("fp", "component_id", "root"))
@@ -250,17 +273,24 @@ def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(used > 0, (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255), 1.0)
 
 
-def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a < b of ``classes.id`` whose signatures agree in ``similarity`` or more, among those with a fingerprint in common
-    or near by: candidates come from the keys of all ``TABLES`` fingerprints, a class with another's very fingerprint is
-    compared with the first class that has it."""
+def similar(classes: DataFrame, similarity: float) -> DataFrame:
+    """node, root of ``classes.id``: components of the classes whose signatures agree in ``similarity`` or more, among those with
+    a fingerprint in common or near by.
+
+    Candidates come from the keys of all ``TABLES`` fingerprints; a class with another's very fingerprint is compared with
+    the first class that has it. What few pairs have tied together is not compared again.
+    """
     prints = classes.select("id", F.posexplode("f").alias("t", "fp"))
     first = cut(prints.groupBy("t", "fp").agg(F.min("id").alias("first")))
     same = prints.join(first, ["t", "fp"]).filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    near = _near(first, LOOK_BITS)
     of = lambda c, n: first.select("t", F.col("fp").alias(c), F.col("first").alias(n))
-    apart = near.join(of("a", "x"), ["t", "a"]).join(of("b", "y"), ["t", "b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = same.unionAll(apart).distinct()
+    named = lambda pairs: pairs.join(of("a", "x"), ["t", "a"]).join(of("b", "y"), ["t", "b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    few = cut(_agreeing(same.unionAll(named(_starred(first, LOOK_BITS))).distinct(), classes, similarity))
+    tied = first.join(components(few), F.col("first") == F.col("node"), "left").select("t", "fp", F.coalesce("root", "first").alias("root"))
+    return components(few.unionAll(_agreeing(named(_near(tied, LOOK_BITS)).distinct(), classes, similarity)))
+
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     sides = lambda c: classes.select(F.col("id").alias(c), F.col("signature").alias(f"{c}_signature"))
     met = pairs.join(sides("a"), "a").join(sides("b"), "b")
 
@@ -287,6 +317,6 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best")
     classes = prints.groupBy("c1", "c2").agg(best, F.first("f").alias("f"), F.first("signature").alias("signature"))
     classes = cut(cut(classes).withColumn("id", F.monotonically_increasing_id()).select("id", "best", "f", "signature"))
-    roots = components(similar_pairs(classes, similarity))
+    roots = similar(classes, similarity)
     rooted = classes.select("id", "best").join(roots, F.col("id") == F.col("node"), "left").select("best", F.coalesce("root", "id").alias("root"))
     return _only(docs, rooted.groupBy("root").agg(F.min("best").alias("k")))

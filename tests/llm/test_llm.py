@@ -506,6 +506,21 @@ def test_golay_links_every_pair(spark):
     assert got == {tuple(sorted(map(signed, p))) for p in pairs}
 
 
+def test_dense_clusters_are_tied_by_few_links(spark):
+    """All values within two bits of one, and a chain of others: the components of all links, of far fewer pairs."""
+    rng = random.Random(7)
+    center, chain = rng.getrandbits(64), [rng.getrandbits(64)]
+    dense = {center ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)} | {center}
+    for _ in range(50):
+        chain.append(chain[-1] ^ sum(1 << k for k in rng.sample(range(64), 3)))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    fps = spark.createDataFrame([(signed(x),) for x in dense | set(chain) | {rng.getrandbits(64) for _ in range(50)}], "fp long")
+    got = {r.node: r.root for r in simhash.linked(fps).collect()}
+    assert got == {signed(x): min(map(signed, group)) for group in (dense, set(chain)) for x in group}
+    few = simhash._starred(fps.select(F.lit(0).alias("t"), "fp"), 3).count()
+    assert len(dense) / 2 < few <= 3 * len(dense) and simhash.links(fps).count() > 20 * len(dense)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (150, 200), (100, 150)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
