@@ -253,7 +253,8 @@ def profiles(texts: list[str | None], shingle: int) -> dict[str, list]:
             continue
         ids, times = np.unique(which[lo:hi], return_counts=True)
         weights = (1 + np.log(times)).astype(np.float32)
-        bits = 2 * (weights @ signs[ids]) > weights.sum()
+        total = sum(weights[k : k + 4096] @ signs[ids[k : k + 4096]] for k in range(0, len(ids), 4096))
+        bits = 2 * total > weights.sum()
         out["f"].append(np.packbits(bits, bitorder="little").view("<i8").tolist())
         pieces = map(b" ".join, zip(*(own[i:] for i in range(shingle)), strict=False)) if len(own) >= shingle else [whole]
         found = np.sort(np.fromiter((digest(x, SEED) for x in pieces), np.uint64, max(1, len(own) - shingle + 1)))
@@ -296,8 +297,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b, left, right = (batch.column(i) for i in range(4))
+            for start in range(0, batch.num_rows, 4096):
+                a, b, left, right = batch.slice(start, 4096).columns
                 left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, PLACES) for x in (left, right))
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(agreement(left, right) >= similarity))
 
@@ -313,7 +314,7 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     agree. Null and empty texts are one class; an empty table gives no rows; other columns pass through.
     """
     kinds = {"c1": "long", "c2": "long", "f": "array<long>", "signature": "binary"}
-    prints = map_texts(docs.select("doc_id", "text", *row_keys()), kinds, lambda texts: profiles(texts, shingle), keep=["doc_id", "k1", "k2"])
+    prints = map_texts(docs.select("doc_id", "text", *row_keys()), kinds, lambda texts: profiles(texts, shingle), keep=["doc_id", "k1", "k2"], at_once_bytes=1 << 20)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best")
     classes = prints.groupBy("c1", "c2").agg(best, F.first("f").alias("f"), F.first("signature").alias("signature"))
     classes = cut(cut(classes).withColumn("id", F.monotonically_increasing_id()).select("id", "best", "f", "signature"))
