@@ -590,7 +590,7 @@ def stream_sliding_windows(spark, sf_dir):
     """Windows of twelve hours that begin every six."""
     from tessera.streaming.events import windowed
 
-    return _ran(spark, windowed(_events(spark, sf_dir), "ts", "12 hours", ["event_type"], "value", slide="6 hours"), "stream_sliding_windows").select(
+    return _ran(spark, windowed(_events(spark, sf_dir), "ts", "12 hours", ["event_type"], "value", slide="6 hours")).select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total")
     )
 
@@ -601,9 +601,9 @@ def stream_sliding_windows(spark, sf_dir):
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS n FROM s GROUP BY user_id, session""")
 def stream_sessions(spark, sf_dir):
     """Runs of a user's events with gaps below two hours."""
-    from tessera.streaming.events import sessions
+    from tessera.streaming.events import ON_DISK, sessions
 
-    out = _ran(spark, sessions(_events(spark, sf_dir), "ts", "2 hours", "user_id"), "stream_sessions")
+    out = _ran(spark, sessions(_events(spark, sf_dir), "ts", "2 hours", "user_id"), ON_DISK)
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
 
 
@@ -622,10 +622,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(spark, sf_dir))
 
 
-def _ran(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """The result of a stream that is run to its end."""
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _ran(spark: SparkSession, stream: DataFrame, state: str | None = None) -> DataFrame:
+    """The result of a stream that is run to its end: it and the stream's state are in the shared folder, not in the driver."""
+    from tessera.streaming.events import complete_stream
+
+    folder = f"{_shared(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    complete_stream(stream, f"{folder}/table", f"{folder}/checkpoint", state).awaitTermination()
+    out = sync.read_version(spark, f"{folder}/table")
+    return spark.createDataFrame([], stream.schema) if out is None else out  # no files, no batch
 
 
 # Files

@@ -7,7 +7,12 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sync import merge_version
+from tessera.operators.sync import commit_version, merge_version
+
+#: Setting of the class that keeps a stream's state.
+STATE = "spark.sql.streaming.stateStore.providerClass"
+#: Keeps it on the executors' disks; Spark's default keeps all of it in their heaps.
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed(stream: DataFrame, ts: str, width: str, keys: list[str], value: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -24,6 +29,26 @@ def sessions(stream: DataFrame, ts: str, gap: str, key: str, late: str = "1 hour
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def complete_stream(stream: DataFrame, folder: str, checkpoint: str, state: str | None = None):
+    """Run an aggregation over what is there, then stop; its result is the last version of the table at ``folder``.
+
+    Each micro-batch writes the whole result so far as a version of its own, from the executors: no row of it reaches the
+    driver. A batch that is replayed after a failure writes the same rows again. ``state`` is this stream's ``STATE``
+    (``ON_DISK`` if it has a row for many keys); without it the session's holds.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE)
+
+    def put(batch: DataFrame, number: int) -> None:
+        commit_version(batch, folder)
+
+    conf.set(STATE, state or before)  # the stream takes a copy of the session's settings as it starts
+    try:
+        return stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(STATE, before)
+
+
 def upsert_stream(stream: DataFrame, folder: str, keys: list[str], order: str, checkpoint: str):
     """Upsert each micro-batch into the versioned table at ``folder``; reads what is there, then stops.
 

@@ -3,6 +3,7 @@
 import datetime
 import json
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -483,6 +484,36 @@ def test_stream_upsert_and_sessions(spark, tmp_path):
     assert sliding.agg(F.sum("n")).first()[0] == 8
 
 
+def test_stream_results_stay_out_of_the_driver(spark, sf):
+    """Results and state of streams that are run to their end are files of the shared folder; the session is left as it was."""
+    from tessera import queries
+
+    before = spark.conf.get(streams.STATE)
+    for name, provider in (("stream_sessions", streams.ON_DISK), ("stream_sliding_windows", before)):
+        files = queries.QUERIES[name](spark, sf).inputFiles()
+        assert files and all("/tessera-stream-" in f for f in files)
+        checkpoint = Path(files[0].partition("/table/")[0].removeprefix("file:"), "checkpoint")
+        assert any((checkpoint / "state").iterdir()) and provider in next((checkpoint / "offsets").glob("[0-9]*")).read_text()
+        assert name not in [t.name for t in spark.catalog.listTables()]
+    assert spark.conf.get(streams.STATE) == before
+
+
+def test_complete_stream_goes_on(spark, tmp_path):
+    """A second run takes up the state of the first; its version holds the sessions of both. No rows are a version, too."""
+    t = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    run = lambda: streams.complete_stream(streams.sessions(spark.readStream.schema("k string, ts timestamp").parquet(f"{tmp_path}/in"), "ts", "10 minutes", "k"), f"{tmp_path}/out", f"{tmp_path}/ck", streams.ON_DISK).awaitTermination()
+    put = lambda rows: spark.createDataFrame(rows, "k string, ts timestamp").write.mode("append").parquet(f"{tmp_path}/in")
+    put([])
+    run()
+    assert sync.read_version(spark, f"{tmp_path}/out").count() == 0
+    put([("u", t(5)), ("u", t(5, 4)), ("v", t(5, 1))])
+    run()
+    put([("u", t(5, 9)), ("v", t(6))])
+    run()
+    got = sync.read_version(spark, f"{tmp_path}/out").select("k", F.col("session_start").cast("string"), F.col("session_end").cast("string"), "n").collect()
+    assert sorted(map(tuple, got)) == [("u", "2024-01-01 05:00:00", "2024-01-01 05:19:00", 3), ("v", "2024-01-01 05:01:00", "2024-01-01 05:11:00", 1), ("v", "2024-01-01 06:00:00", "2024-01-01 06:10:00", 1)]
+
+
 def test_exact_quantiles(spark):
     """Ties, nulls, few and no values; brackets as narrow as they get."""
     import random
