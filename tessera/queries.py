@@ -603,7 +603,9 @@ def stream_sessions(spark, sf_dir):
     """Runs of a user's events with gaps below two hours."""
     from tessera.streaming.events import ON_DISK, sessions
 
-    out = _ran(spark, sessions(_events(spark, sf_dir), "ts", "2 hours", "user_id"), ON_DISK)
+    # Sessions that touch are one in Spark: a gap of two hours less the least unit keeps those two hours apart asunder.
+    out = _ran(spark, sessions(_events(spark, sf_dir), "ts", "2 hours -1 microseconds", "user_id"), ON_DISK)
+    out = out.withColumn("session_end", F.col("session_end") + F.expr("INTERVAL '0.000001' SECOND"))
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
 
 

@@ -498,6 +498,22 @@ def test_stream_results_stay_out_of_the_driver(spark, sf):
     assert spark.conf.get(streams.STATE) == before
 
 
+def test_sessions_exactly_the_gap_apart(spark, tmp_path):
+    """Two hours apart, to the microsecond, are two sessions, as in the SQL; a microsecond less is one. Users may be null."""
+    import duckdb
+
+    from tessera import queries
+
+    t = lambda h, us=0: datetime.datetime(2024, 1, 1, h, 0, 0, us)
+    rows = [(1, t(0)), (1, t(2)), (1, t(4)), (2, t(0, 1)), (2, t(2)), (3, t(0)), (3, t(2, 1)), (None, t(0)), (None, t(1)), (None, t(3)), (4, t(5)), (4, t(5))]
+    spark.createDataFrame(rows, "user_id bigint, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone='UTC'; CREATE VIEW events AS SELECT user_id, ts::TIMESTAMP AS ts FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    df = queries.stream_sessions(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL['stream_sessions']})").fetchall()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want)) and len(want) == 9
+
+
 def test_complete_stream_goes_on(spark, tmp_path):
     """A second run takes up the state of the first; its version holds the sessions of both. No rows are a version, too."""
     t = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
